@@ -13,7 +13,7 @@ _BY_MODULE = {
     # pagebody
     "encode": ["p6_ids"],
     "mix": ["p7_mix", "p7_report"],
-    # pii
+    "pii": ["p8_found", "p8_redacted"],
 }
 
 
