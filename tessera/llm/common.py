@@ -49,3 +49,12 @@ def is_blank(c: Column) -> Column:
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A file of the public tokenizers; the folder is a parameter, or the environment's TOKENIZERS_DIR."""
     return os.path.join(folder or os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
+
+
+def sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """At most ``rows`` rows, spread over the whole table by a hash of the key: what a model is fitted on."""
+    total = df.select(key).count()
+    if total <= rows:
+        return df
+    part = (1 << 63) / total * rows * 0.98
+    return df.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 1) < F.lit(int(part)).cast("long")).limit(rows)

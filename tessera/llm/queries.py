@@ -9,7 +9,7 @@ _BY_MODULE = {
     # residue
     # history
     "sitelines": ["p3_found", "p3_clean"],
-    # truncation
+    "truncation": ["p4_found", "p4_report"],
     # pagebody
     "encode": ["p6_ids"],
     "mix": ["p7_mix", "p7_report"],
