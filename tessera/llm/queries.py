@@ -6,11 +6,11 @@ from importlib import import_module
 
 #: Fixed value: module -> its queries.
 _BY_MODULE = {
-    # residue
+    "residue": ["p1_found", "p1_windows"],
     # history
     "sitelines": ["p3_found", "p3_clean"],
     "truncation": ["p4_found", "p4_report"],
-    # pagebody
+    "pagebody": ["p5_found", "p5_clean"],
     "encode": ["p6_ids"],
     "mix": ["p7_mix", "p7_report"],
     "pii": ["p8_found", "p8_redacted"],
