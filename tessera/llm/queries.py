@@ -7,7 +7,7 @@ from importlib import import_module
 #: Fixed value: module -> its queries.
 _BY_MODULE = {
     "residue": ["p1_found", "p1_windows"],
-    # history
+    "history": ["p2_found"],
     "sitelines": ["p3_found", "p3_clean"],
     "truncation": ["p4_found", "p4_report"],
     "pagebody": ["p5_found", "p5_clean"],
