@@ -32,9 +32,11 @@ from tessera.llm.common import documents, sample
 SAMPLE = 3000
 MEMO = 100_000
 
+_PUNCTUATION = ".,;:!?…\"“”«»'()[]*"
 _BULLET = re.compile(r"^(?:[*–•▪·]|\d{1,2}[.)])\s+")
 _SPLIT = re.compile(r"\s[—|–]\s|:\s")
 _STEPS = re.compile(r"\s[»›>/|·]\s|\s\s·\s\s")
+_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _END = re.compile(r"[.!?…][\"”»')\]]*$")
 
 
@@ -42,22 +44,29 @@ def words_of(line: str) -> list[str]:
     return re.sub(r"\d+", "0", line.lower().replace("_", " ")).split()
 
 
+def form_features(line: str) -> list[int]:
+    """Hashed outer form of a line and its words at the ends."""
+    raw = line.split()
+    n = len(raw)
+    ends = words_of(" ".join(raw[:3] + raw[-2:]))
+    ends = [x.strip(_PUNCTUATION) for x in ends]
+    first, last = ends[: min(3, n)], ends[-min(2, n) :]
+    end = "." if _END.search(line[-12:]) else line[-1:] if not line[-1:].isalnum() else "a"
+    stops = line.count(". ") + line.count("! ") + line.count("? ")
+    return linear.hashed([
+        f"n{min(n, 30) // 2}", "e" + end, f"ne{min(n, 24) // 4}{end}", "s" + (line[0] if not line[0].isalnum() else "U" if line[0].isupper() else "l" if line[0].islower() else "0"),
+        f"p{min(3, len(_STEPS.findall(line[:200])))}", "2" + " ".join(first[:2]), "3" + " ".join(first), "l2" + " ".join(last), "1" + (first[0] if first else "") + end, "bias", f"st{min(4, stops)}",
+    ])
+
+
 def line_features(line: str) -> list[int]:
-    """Hashed words, their neighbours at the ends, and the outer form of a line."""
-    w = words_of(line)
-    bare = [x.strip(".,;:!?…\"“”«»'()[]*") for x in w]
-    end = "." if _END.search(line) else line[-1:] if not line[-1:].isalnum() else "a"
-    form = [
-        f"n{min(len(w), 30) // 2}", f"e{end}", f"ne{min(len(w), 24) // 4}{end}", "s" + (line[0] if not line[0].isalnum() else "U" if line[0].isupper() else "l" if line[0].islower() else "0"),
-        f"p{min(3, len(_STEPS.findall(line)))}", "2" + " ".join(bare[:2]), "3" + " ".join(bare[:3]), "l2" + " ".join(bare[-2:]), "1" + bare[0] + end, "bias",
-        f"st{min(4, len(re.findall(r'[.!?] ', line)))}",
-    ]
-    return linear.hashed(form + ["w" + x for x in bare if x and len(x) < 25])
+    """The form and all words of a line."""
+    return form_features(line) + linear.hashed(["w" + x for w in words_of(line) if len(w) < 40 and (x := w.strip(_PUNCTUATION)) and len(x) < 25])
 
 
 def word_features(line: str) -> list[int]:
     """Only the words; long strings without a space are no words."""
-    return linear.hashed(["w" + x for w in words_of(line) if len(w) < 25 and (x := w.strip(".,;:!?…\"“”«»'()[]*")) and x != "0"])
+    return linear.hashed(["w" + x for w in words_of(line) if len(w) < 25 and (x := w.strip(_PUNCTUATION)) and x != "0"])
 
 
 def plain(line: str) -> str:
@@ -83,36 +92,63 @@ def fit(records: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.nd
     return article, title
 
 
+class WordWeights(dict):
+    """Weights of words as they stand in a text, computed when first met (bounded)."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        w = re.sub(r"\d+", "0", token.lower().replace("_", " ")).strip(_PUNCTUATION)
+        value = float(self.weights[linear.hashed(["w" + w])[0]]) if w and len(w) < 25 else 0.0
+        if len(self) < 2 * MEMO:
+            self[token] = value
+        return value
+
+
 class Pages:
     """Scores lines and finds the article."""
 
     def __init__(self, article: np.ndarray, title: np.ndarray, switch: float = 1.2):
         self.article, self.title, self.switch = article, title, switch
         self.heads = {plain(x) for x in labels.lines(labels.TEASER_HEADS)}
-        self.memo: dict[str, tuple[float, float]] = {}
+        self.memo: dict[str, tuple[float, float, str]] = {}
+        self.article_list, self.title_list = article.tolist(), title.tolist()
+        self.article_words, self.title_words = WordWeights(article), WordWeights(title)
 
-    def scores(self, line: str) -> tuple[float, float]:
-        """Log odds of an article's line and of a title (also behind a bullet or before a blurb)."""
+    def total(self, line: str, weights: list[float], words: WordWeights) -> float:
+        """The sum of the weights of ``line_features``, its words looked up."""
+        return sum(map(weights.__getitem__, form_features(line))) + sum(map(words.__getitem__, line.split()))
+
+    def scores(self, line: str) -> tuple[float, float, str]:
+        """Log odds of an article's line and of a title (also behind a bullet or before a blurb); a short line's words."""
         known = self.memo.get(line)
         if known is None:
-            f = line_features(line)
-            a = float(self.article[f].sum())
+            a = self.total(line, self.article_list, self.article_words)
             t = -9.0
             if len(line) < 320:
                 bare = _BULLET.sub("", line)
-                t = float(self.title[line_features(bare) if bare != line else f].sum()) if bare else -9.0
+                if bare and len(bare) < 160:
+                    t = self.total(bare, self.title_list, self.title_words)
                 cut = _SPLIT.search(bare)
-                if cut and cut.start() > 8:
-                    t = max(t, float(self.title[line_features(bare[: cut.start()])].sum()))
-            if abs(a) > 1 and abs(float(self.article[word_features(line)].sum())) < 0.4:
+                if cut and 8 < cut.start() < 160:
+                    t = max(t, self.total(bare[: cut.start()], self.title_list, self.title_words))
+            if abs(a) > 1 and len(line) < 160 and self.unknown(line):
                 a = max(-1.0, min(1.0, a))  # words the model doesn't know: the lines around decide
-            known = (max(-5.0, min(5.0, a)), t)
+            known = (max(-5.0, min(5.0, a)), t, plain(line) if len(line) < 200 else "")
             if len(line) < 160:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
                 self.memo[line] = known
         return known
 
+    def unknown(self, line: str) -> bool:
+        """Whether the model has no weight for any word, or the line is hardly in a script that it knows."""
+        if len(_LATIN.findall(line)) * 2 < len(line.replace(" ", "")):
+            return "©" not in line and len(_STEPS.findall(line)) < 3
+        known = self.article[word_features(line)]
+        return not len(known) or float(np.abs(known).max()) < 0.05
+
     def kept(self, body: str, own_title: str | None) -> list[bool | None]:
         """For each line whether it belongs to the article; None for blank lines."""
         lines = [x.strip() for x in body.split("\n")]
@@ -124,8 +160,7 @@ class Pages:
             if not line:
                 value.append(0.0)
                 continue
-            a, t = self.scores(line)
-            low = plain(line)
+            a, t, low = self.scores(line)
             if low in self.heads:
                 teaser, a = True, -5.0
             elif own and low == own:
