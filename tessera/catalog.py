@@ -6,7 +6,7 @@ from importlib import import_module
 
 FLAGSHIP = "search_pipeline"
 
-MODULES: list[str] = []
+MODULES = ["tessera.plans.docproc", "tessera.plans.tables", "tessera.plans.search"]
 
 
 def queries() -> dict:
