@@ -6,7 +6,7 @@ from importlib import import_module
 
 FLAGSHIP = "search_pipeline"
 
-MODULES = ["tessera.plans.docproc", "tessera.plans.tables", "tessera.plans.search"]
+MODULES = ["tessera.plans.docproc", "tessera.plans.tables", "tessera.plans.search", "tessera.plans.graph", "tessera.plans.streams"]
 
 
 def queries() -> dict:
