@@ -355,6 +355,11 @@ Nur ein Test, bitte nicht beachten.
 Dies ist ein Blindtext und zeigt nur das Layout.
 Hier steht später Ihr Text.
 Hier steht später die Zusammenfassung.
+Platzhalter für den Vorspann.
+Platzhaltertext für das Layout der Seite.
+Placeholder for the introduction.
+Texte provisoire pour le chapô.
+Texto provisional para la entradilla.
 Beispieltext, bitte durch eigenen Inhalt ersetzen.
 Ceci est un texte d'exemple à remplacer.
 Votre contenu apparaîtra ici.
@@ -486,6 +491,7 @@ __AUTHOR_BIO__ __CITY__ $AUTHOR_ORG$ $TOWN$ $PLACE TITLE$
 [INSERT PULL QUOTE HERE] [INSERT SUMMARY] [CITY], [MONTH] [YEAR] [Your Name] [Company] [BRAND] [PAGE CITY]
 [HIER ZITAT EINFÜGEN] [ORT], [MONAT] [JAHR] [INSÉRER RÉSUMÉ] [VILLE], [MOIS] [ANNÉE] [INSERTAR CITA AQUÍ] [CIUDAD], [MES] de [AÑO]
 [object Object], [object Object] Welcome back, undefined! NaN of null
+Add a short description of your article here. Fügen Sie hier eine kurze Beschreibung ein. Ajoutez ici une courte description. Añada aquí una breve descripción.
 TODO: replace this intro before publishing TODO: write summary FIXME check figures
 (caption TK) (source TK) TK TBD XXX EDITOR: check spelling before publishing NOTE TO EDITOR
 TODO: Einleitung ersetzen Anmerkung der Redaktion: Zahlen noch prüfen
@@ -494,7 +500,7 @@ TODO: sustituir la entradilla antes de publicar PENDIENTE
 """
 
 #: Names of fields and the marks that templates put around them.
-FIELDS = "agency article author author_org body brand city client company country date description doc event excerpt field first_name headline intro lead location name org org_name orgUnit page partner place place.title publisher region section siteName site_name subtitle summary teaser title town unit user venue".split()
+FIELDS = "agency article author author_org body brand city client company country date description doc event excerpt field first_name headline intro lead location name org org_name orgUnit page partner place place.title publisher region section siteName site_name subtitle summary teaser title town unit user venue resumen resume zusammenfassung nombre prenom nom nachname anrede vorname titulo titre titel entradilla chapo teaser verlag ort ville ciudad autor auteur fecha datum".split()
 MARKS = ("{{%s}}", "{{ %s }}", "{%% %s %%}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "[[%s]]", "<<%s>>", "@@%s@@", "%%%%%s%%%%", "%%%s%%", "__%s__", "$%s$", "&lt;%s&gt;", "[%s]")
 
 #: Prose that only talks about such things.

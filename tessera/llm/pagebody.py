@@ -169,7 +169,7 @@ class Pages:
                 bullet = _BULLET.match(line) is not None
                 if teaser or bullet:
                     a = min(a, -3.0)
-                elif not prose_seen and (not own or len(own.split()) < 3):
+                elif not prose_seen and (not own or len(own.split()) < 3) and len(_STEPS.findall(line)) < 2:
                     a = 0.5  # perhaps the headline of a page without a telling title
                 else:
                     a = min(a, -1.6)

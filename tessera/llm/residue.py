@@ -31,7 +31,7 @@ from tessera.llm.pagebody import fit as fit_pages
 CLASSES = ("filler", "notice", "residue")
 BITS = 18
 #: Bytes of the windows that localise residue, with their thresholds.
-WINDOWS = ((8, 3.0), (24, 6.0))
+WINDOWS = ((8, 2.0), (24, 4.0))
 CODE = np.arange(256, dtype=np.uint32)
 CODE[48:58] = 48
 
@@ -40,9 +40,9 @@ PLACE = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|<<\s*[\w .-]{2,40}>>|@@\w[\w .-]{1,40}@@|%%\w[\w .-]{1,40}%%"
     r"|%[A-Za-z][A-Za-z_.]{2,40}%|__[A-Za-z][A-Za-z_]{1,40}?__|\$[A-Za-z][A-Za-z_. ]{1,40}\$|&lt;/?[A-Za-z_. ]{2,40}&gt;|\{\s*(?:\d|[A-Za-z_.]{2,40})\s*\}|<[A-Z][A-Z_ ]{2,40}>"
     r"|\[(?:[A-ZÀ-Þ]{2,}[A-ZÀ-Þ_.]*)(?:[ _'’-][A-ZÀ-Þ_]+){0,6}\]|\[[Yy]our [^\]\n]{2,30}\]|\[(?:[Cc]ompany|[Nn]ame|[Cc]ity|[Dd]ate|[Tt]itle|[Ii]hr [^\]\n]{2,30}|[Vv]otre [^\]\n]{2,30}|[Ss]u [^\]\n]{2,30})\]"
-    r"|\[object object\]|\bundefined\b|\bNaN\b|\bTO ?DO\b\s*:?|\bFIXME\b|\bT[KB][DC]?\b|\bXXX\b|\bÀ COMPLÉTER\b|\bPENDIENTE\b"
+    r"|\[object object\]|\bundefined\b|\bNaN\b|\bTO ?DO\b(?=\s*[:\])-])|\bFIXME\b|\bT[KB][DC]?\b|\bXXX\b|\bÀ COMPLÉTER\b|\bPENDIENTE\b"
 )
-_FIELD_LOW = re.compile(r"\{\{|\{%|<%|[$#]\{|\[\[|<<\s*\w|@@\w|%%\w|&lt;\w|\[object object\]|\[insert|\[hier |\[insér|\[insertar|\btodo\s?:|\(\w+ tk\)", re.I)
+_FIELD_LOW = re.compile(r"\{\{|\{%|<%|[$#]\{|\[\[|<<\s*\w|@@\w|%%\w|&lt;\w|\[object object\]|\[insert|\[hier |\[insér|\[insertar|\btodo\s?:|\(\w+ tk\)|\badd a short description\b|hier eine kurze beschreibung ein|ajoutez ici une courte description|añada aquí una breve descripción", re.I)
 _QUOTED = re.compile(r"`[^`\n]*`|[“„«‘][^”“»’\n]{0,120}[”“»’]|<\|[^|\n]*\|>|\"[^\"\n]{0,120}\"|\[\d\d:\d\d(?::\d\d)?\]|\[(?:\.{3}|…|at|dot|\+\d+ \w+)\]", re.I)
 
 #: Words of sentences that explain placeholders rather than leave one.
@@ -75,7 +75,7 @@ def fit(bodies: list[str | None]) -> np.ndarray:
     lines = [x.strip() for b in bodies if b for x in b.split("\n")]
     prose = [x for x in lines if len(x) > 80 and not _FIELD_LOW.search(x) and "ipsum" not in x.lower()]
     other = labels.lines(labels.PAGE_PARTS) + labels.lines(labels.TEASER_HEADS) + labels.lines(labels.ARTICLE_LINES)
-    natural = counted(prose) + counted(other * 20) + counted(labels.lines(labels.ABOUT) * 40)
+    natural = counted(prose) + counted(other * 60) + counted(labels.lines(labels.ABOUT) * 40)
     out = np.zeros((len(CLASSES), 1 << BITS), dtype=np.float32)
     for k, block in enumerate((labels.FILLER, labels.NOTICES, labels.RESIDUE)):
         own = counted(labels.lines(block) + ([f" {x} " for x in labels.fields()] if k == 2 else []))
