@@ -184,14 +184,14 @@ class Pages:
 
 
 def regions(value: list[float], cost: float) -> list[bool]:
-    """The maximum-scoring set of regions, each paying ``cost`` at both ends: one forward scan and one back."""
+    """The maximum-scoring set of regions, each paying ``cost`` at every end inside the page: one scan forward, one back."""
     inside, outside = -cost, 0.0
     steps: list[tuple[bool, bool]] = []
     for v in value:
         enter, leave = outside - cost > inside, inside - cost > outside
         inside, outside = max(inside, outside - cost) + v, max(outside, inside - cost)
         steps.append((enter, leave))
-    at = inside - cost > outside
+    at = inside > outside
     out = []
     for enter, leave in reversed(steps):
         out.append(at)

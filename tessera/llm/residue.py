@@ -106,15 +106,17 @@ class Detector:
         sizes = np.concatenate([ends, [len(data)]]) - starts
         at = np.minimum(starts, max(0, len(data) - 1))
         sums, found = np.zeros((2, len(starts))), np.zeros(len(starts), dtype=bool)
+        whole = starts + np.maximum(sizes - 2, 0)  # where the 4-grams of a line end
+        last = np.repeat(whole, sizes + 1)[: len(h)]  # no window goes beyond its line
+        here = np.arange(len(h))
         for k in range(3):
             s = self.ratios[k][h] if len(h) else np.zeros(1, np.float32)
             c = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
             if k < 2:
-                stop = np.minimum(starts + np.maximum(sizes - 2, 0), len(c) - 1)  # whole 4-grams of the line
-                sums[k] = c[stop] - c[np.minimum(starts, len(c) - 1)]
+                sums[k] = c[np.minimum(whole, len(c) - 1)] - c[np.minimum(starts, len(c) - 1)]
                 continue
             for wide, least in WINDOWS:
-                w = c[np.minimum(np.arange(len(s)) + wide, len(c) - 1)] - c[:-1]
+                w = c[np.maximum(np.minimum(here + wide, last), here)] - c[:-1] if len(h) else np.zeros(1)
                 found |= (np.maximum.reduceat(w, at) > least) & (sizes > 0)
         return sums, found, sizes, first
 
