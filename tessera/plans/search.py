@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.query import diverse
 from tessera.functions.text import tokens
 from tessera.operators import fusion as U
 from tessera.operators import retrieval as V
@@ -557,4 +558,76 @@ def index_terms(spark, sf):
     return occ.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@R.add("minmax_normalise", f"with h as (select id, elapsed_ms from query_log where elapsed_ms is not null order by elapsed_ms desc, id limit 200) select id, round((elapsed_ms - min(elapsed_ms) over ()) / (max(elapsed_ms) over () - min(elapsed_ms) over ()), 6) as norm from h")
+def minmax_normalise(spark, sf):
+    """W05 over a bounded result."""
+    h = table(spark, sf, "query_log").where("elapsed_ms is not null").orderBy(F.desc("elapsed_ms"), "id").limit(200).select("id", F.col("elapsed_ms").cast("double").alias("score"))
+    return V.minmax(h).select("id", F.round("score", 6).alias("norm"))
+
+
+_BEST = f"select r.doc_id, arg_max(q, struct_pack(s := {_COS}, q := -q)) as chunk_index, max({_COS}) as c from (select doc_id, unnest([0, 1, 2]) as q from documents) r join embeddings on vec_id = (r.doc_id * 3 + q) % (select count(*) from embeddings) group by r.doc_id"
+
+
+@R.add("chunk_augment", f"with {', '.join(_FOUR)}, h as ({rrf_sql(['f', 'v', 'a', 'c'])}), b as ({_BEST}) select doc_id, round(score, 6) as score, chunk_index, round(c, 6) as chunk_score from h left join b using (doc_id)")
+def chunk_augment(spark, sf):
+    """Hits with their best chunk, in their own order; only the hits' chunks are scored."""
+    hits = U.rrf(four(spark, sf), LIMIT)
+    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
+    rows = chunk_rows(spark, sf).join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi")
+    scored = part_vectors(spark, sf, rows, 3).select("doc_id", "q", F.round(V.cosine(F.col("vector"), q), 9).alias("s"))
+    b = scored.groupBy("doc_id").agg(F.max(F.struct("s", (-F.col("q")).alias("m"))).alias("b"))
+    return hits.join(b, "doc_id", "left").select("doc_id", F.round("score", 6).alias("score"), (-F.col("b.m")).alias("chunk_index"), F.round("b.s", 6).alias("chunk_score"))
+
+
+@R.add("diverse_keywords")
+def diverse_keywords(spark, sf):
+    """Q04: up to three keywords of a document that don't share their terms (tested against Python)."""
+    return ready(spark, sf).where("size(keywords) > 0").select("doc_id", diverse(F.col("keywords")).alias("kw"))
+
+
+SUBQUERIES = ("reservoir gates", "pressure zones", "rain gauges")
+
+
+def _sub_sql() -> str:
+    parts = [fts_sql(f"f{i}", q) for i, q in enumerate(SUBQUERIES)]
+    rows = " union all ".join(f"select doc_id, score from {norm_sql(f'f{i}')}" for i in range(len(SUBQUERIES)))
+    return f"with {', '.join(parts)} select doc_id, round(max(score), 6) as relevance, count(*) as answers from ({rows}) group by doc_id having max(score) >= 0.4"
+
+
+@R.add("research_quick", _sub_sql())
+def research_quick(spark, sf):
+    """Q13: a question's parts are searched, and each document counts by its best part, if that is relevant enough."""
+    parts = [V.minmax(fts(spark, sf, q).select("doc_id", "score")) for q in SUBQUERIES]
+    g = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.max("score").alias("best"), F.count("*").alias("answers"))
+    return g.where("best >= 0.4").select("doc_id", F.round("best", 6).alias("relevance"), "answers")
+
+
+@R.add("research_deep", None)
+def research_deep(spark, sf, enough: int = 10, most_rounds: int = 3):
+    """Q13 in rounds: the next part is searched until there are enough relevant documents. Only a count returns to the driver."""
+    found = None
+    for q in SUBQUERIES[:most_rounds]:
+        own = V.minmax(fts(spark, sf, q).select("doc_id", "score")).where("score >= 0.4")
+        found = own if found is None else found.union(own).groupBy("doc_id").agg(F.max("score").alias("score"))
+        if found.count() >= enough:
+            break
+    return _out(found)
+
+
+@R.add("browse", f"with {fts_sql('f')}, {aq_fts_sql('g')}, {aq_vec_sql('a')}, {vec_sql('v')}, h as ({rrf_sql(['g', 'a', 'v'])}) select '- ' || coalesce(title, '(untitled)') || ' [' || coalesce(source, 'unknown') || ']' as line from h join documents using (doc_id) where status = 'ready'")
+def browse(spark, sf):
+    """Q16: the question ranker's hits as lines of a list."""
+    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("(untitled)")), F.lit(" ["), F.coalesce("source", F.lit("unknown")), F.lit("]"))
+    return ready(spark, sf).join(F.broadcast(rank_aq_rrf(spark, sf).select("doc_id")), "doc_id", "left_semi").select(line.alias("line"))
+
+
+@R.add("probe_response", "with t as (select unnest(topics) as topic, doc_id, answers_questions as aq from documents where status = 'ready'), c as (select topic, count(distinct doc_id) as docs, count(distinct doc_id) * least(1.0, count(distinct doc_id) / 50.0) as weight from t group by topic having count(distinct doc_id) >= 5) select arg_max(topic, struct_pack(w := weight, t := topic)) as first_topic, count(*) as clusters, cast(sum(docs) as bigint) as docs from c where contains('who digs water archives and bees', topic)")
+def probe_response(spark, sf):
+    """Q12: the clusters that a context names and the one to ask first (most confidence x documents)."""
+    g = ready(spark, sf).select(F.explode("topics").alias("topic"), "doc_id").groupBy("topic").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 5")
+    hit = g.where(F.lit("who digs water archives and bees").contains(F.col("topic")))
+    weight = F.col("docs") * F.least(F.lit(1.0), F.col("docs") / 50.0)
+    return hit.agg(F.max_by("topic", F.struct(weight.alias("w"), "topic")).alias("first_topic"), F.count("*").alias("clusters"), F.sum("docs").alias("docs"))
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -165,6 +165,19 @@ def web_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def html_markdown(html: Column) -> Column:
+    """Markdown of simple HTML: headings, list items, links, emphasis, paragraphs; other tags dropped."""
+    t = F.regexp_replace(html, _TAGS, " ")
+    for level in range(1, 7):
+        t = F.regexp_replace(t, rf"(?is)<h{level}[^>]*>\s*(.*?)\s*</h{level}>", "\n" + "#" * level + " $1\n")
+    for pattern, to in (
+        (r"(?is)<li[^>]*>\s*(.*?)\s*</li>", "\n- $1"), (r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", "[$2]($1)"), (r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", "**$1**"), (r"(?is)<(?:i|em)>(.*?)</(?:i|em)>", "*$1*"),
+        (r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n"), (r"<[^>]+>", ""), (r"[ \t]+", " "), (r"\s*\n\s*\n\s*", "\n\n"),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    return F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+
 def page_links(pages: DataFrame, same_site: bool = True) -> DataFrame:
     """url, link: absolute links without fragments, each once per page."""
     host = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)

@@ -235,3 +235,8 @@ def test_summary_matches_python(spark):
                 break
             want = f"{want} {s}" if want else s
         assert r.lead == (want or r.text.strip(" ")[:500])
+
+
+def test_html_to_markdown(spark):
+    html = "<h2>Head</h2><p>One <b>two</b> <a href='u'>x</a></p><ul><li>a</li><li>b</li></ul><script>no</script>"
+    assert one(spark, files.html_markdown(F.col("h")), h=html) == "## Head\nOne **two** [x](u)\n\n- a\n- b"
