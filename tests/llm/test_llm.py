@@ -118,6 +118,30 @@ def test_repeats_equal_brute_force(spark):
     assert got == want and len(want) > 5
 
 
+def test_a_crowd_of_near_copies_loses_nothing(spark):
+    """Most records are near copies of each other, some only of a few; a search meets two classes a key at first."""
+    rng = random.Random(8)
+    base, rows = article(rng, 14), []
+    for i in range(1, 91):
+        kind = rng.random()
+        words = " ".join(base).split()
+        for j in rng.sample(range(len(words)), 4 if kind < 0.6 else len(words) // 7):
+            words[j] = f"edit{rng.randrange(10**6)}"
+        rows.append({"doc_id": i, "batch_no": 0 if i <= 30 else 1 + i % 2 if i > 60 else 1, "body_text": " ".join(words) if kind < 0.9 else " ".join(article(rng))})
+    got = {r.doc_id_b: r.doc_id_a for r in history.repeats(spark, docs(spark, *rows), first=2).collect()}
+    bodies = {r["doc_id"]: " ".join(re.findall(r"[^\W_]+", r["body_text"].lower())) for r in rows}
+    accepted, want = [r["doc_id"] for r in rows if r["batch_no"] == 0], set()
+    for r in rows:
+        if r["batch_no"]:
+            hits = [a for a in accepted if a < r["doc_id"] and history.same_article(bodies[a], bodies[r["doc_id"]])]
+            if hits:
+                want.add(r["doc_id"])
+                assert got.get(r["doc_id"]) in hits
+            else:
+                accepted.append(r["doc_id"])
+    assert set(got) == want and len(want) > 20
+
+
 def test_repeats_odd_inputs(spark):
     body = "\n".join(article(random.Random(1)))
     rows = [{"doc_id": 1, "batch_no": 0, "body_text": body}, {"doc_id": 2, "batch_no": 1, "body_text": body.upper()}, {"doc_id": 3, "batch_no": 1}, {"doc_id": 4, "batch_no": 2, "body_text": "short", "url": ""}, {"doc_id": 5, "batch_no": 2, "body_text": body}]
@@ -137,7 +161,7 @@ def test_long_matches_meet():
 def test_segments_merge_logarithmically(spark):
     store = history.SuffixStore(spark, 2)
     for i in range(8):
-        store.add(spark.range(i * 4, i * 4 + 4).select(F.col("id").alias("key"), F.lit(bytes([i])).alias("cls")))
+        store.add(spark.range(i * 4, i * 4 + 4).select(F.col("id").alias("key"), F.lit(i).cast("long").alias("doc"), F.lit(bytes([i])).alias("cls")))
     assert [n for n, _ in store.segments] == [32]
     probe = spark.createDataFrame([(5, b"q"), (99, b"q")], "key long, cls binary")
     assert [bytes(r.other) for r in store.search(probe).collect()] == [b"\x01"]
