@@ -22,6 +22,7 @@ each. Very long values are judged by their last line (its last 400 characters).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import linear
+from tessera.llm import labels, linear
 from tessera.llm.common import documents, is_blank, sample, stored
 
 SAMPLE = 3000
@@ -55,11 +56,13 @@ def values(df: DataFrame) -> DataFrame:
 def length_tests(lengths: DataFrame, near: int = 40, gap: int = 3) -> DataFrame:
     """source, field, unit, length, n, at_risk, expected, log_p, excess for runs of 1 and 12 lengths.
 
-    ``lengths``: source, field, chars, bytes, marked (ends with a mark of omission) of each value.
+    ``lengths``: source, field, chars, bytes, marked (ends with a mark of omission), digest of each value. Values that
+    differ in digits only count once (messages of one form have one length without any limit).
     """
     units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])).alias("u")
     key = ["source", "field", "unit"]
-    count = lengths.select("source", "field", "marked", units).groupBy("source", "field", "u.unit", "u.length").agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"))
+    once = lengths.groupBy("source", "field", "chars", "bytes", "marked", "digest").agg(F.lit(1).alias("one"))
+    count = once.select("source", "field", "marked", units).groupBy("source", "field", "u.unit", "u.length").agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"))
     own = Window.partitionBy(*key).orderBy("length")
     risk = count.withColumn("at_risk", F.sum("n").over(own.rowsBetween(0, Window.unboundedFollowing)))
     around = [(-near - 11, -gap - 11), (gap, near)]
@@ -84,7 +87,31 @@ def significant(tests: DataFrame, fdr: float = 0.01, least: int = 4) -> DataFram
     ranked = tests.withColumn("k", F.row_number().over(own)).withColumn("m", F.count("*").over(whole))
     passed = F.col("log_p") <= F.log(F.col("k") / F.col("m") * F.lit(fdr))
     most = F.max(F.when(passed, F.col("k")).otherwise(0)).over(whole)
-    return ranked.withColumn("most", most).where((F.col("k") <= F.col("most")) & (F.col("n") >= least) & (F.col("excess") >= F.when(F.col("run") == 1, 0.6).otherwise(0.88))).drop("k", "m", "most")
+    return ranked.withColumn("most", most).where((F.col("k") <= F.col("most")) & (F.col("n") >= least) & (F.col("excess") >= F.when(F.col("run") == 1, 0.8).otherwise(0.88))).drop("k", "m", "most")
+
+
+class Endings:
+    """What the sample knows: whole lines and words met at least twice, beginnings of such words, and the model's weights."""
+
+    def __init__(self, lines: list[str]):
+        flat = [" ".join(re.sub(r"\d+", "0", x.lower()).split()) for x in lines]
+        words = Counter(w for x in flat for w in set(re.findall(r"[^\W\d_]+", x)))
+        self.lines = {x for x, n in Counter(flat).items() if n > 1}
+        self.words = {w for w, n in words.items() if n > 1}
+        self.starts = {w[:i] for w in self.words for i in range(1, len(w))}
+        self.weights = np.zeros(linear.MASK + 2, dtype=np.float32)
+
+    def features(self, line: str) -> list[int]:
+        flat = " ".join(re.sub(r"\d+", "0", line.lower()).split())
+        last = re.findall(r"[^\W\d_]+$", flat)
+        state = "none" if not last else "known" if last[0] in self.words else "start" if last[0] in self.starts else "new"
+        both = "both" if last and last[0] in self.words and last[0] in self.starts else "one"
+        inside = "in" if _STOP.search(line) else "one"
+        seen = "L1" if flat in self.lines else "L0"
+        return end_features(line) + linear.hashed(["v" + state, "v" + state + inside, "v" + state + both + inside, seen, seen + state, seen + inside + ("." if _DONE.search(line) else "")])
+
+    def odds(self, lines: list[str]) -> np.ndarray:
+        return linear.score(self.weights, [self.features(x) if x else [] for x in lines]).astype(float)
 
 
 def end_features(line: str) -> list[int]:
@@ -107,40 +134,48 @@ def end_features(line: str) -> list[int]:
     ])
 
 
-def fit_endings(bodies: list[str], seed: int = 4, most: int = 30_000) -> np.ndarray:
-    """The model of cut endings, from the inner lines of bodies and from the same lines cut at random."""
+def fit_endings(bodies: list[str], seed: int = 4, most: int = 30_000) -> Endings:
+    """The model of cut endings, from complete lines and from the same lines cut at random.
+
+    Complete are the inner lines of bodies, last lines that several bodies share, and the labelled lines.
+    """
     rng = np.random.default_rng(seed)
-    rows, labels = [], []
+    rows, truth = [], []
     lines = [x.strip() for b in bodies for x in b.split("\n")[:-1] if x.strip()]
     if len(lines) > most:
         lines = [lines[i] for i in rng.permutation(len(lines))[:most]]
+    ends = Counter(b.rstrip().rsplit("\n", 1)[-1].strip() for b in bodies if b and b.strip())
+    known = [x for block in (labels.PAGE_PARTS, labels.NOTICES, labels.FILLER, labels.RESIDUE) for x in labels.lines(block)]
+    lines += [x for x, n in ends.items() if n > 1 for _ in range(min(n, 5))] + [v for x in known for v in (x, x, x.upper())]
+    model = Endings(lines)
     for line in lines:
         line = line[-TAIL:]
-        rows.append(end_features(line))
-        labels.append(0)
+        rows.append(model.features(line))
+        truth.append(0)
         if len(line) > 12:
             at = int(rng.integers(8, len(line)))
             cut = line[:at]
-            if rng.random() < 0.4 and " " in cut[6:]:
+            if rng.random() < 0.25 and " " in cut[6:]:
                 cut = cut[: cut.rindex(" ")]
             cut = cut.rstrip()
             if cut and not (cut[-1] in ".!?" and line[at : at + 1] in ("", " ")):
-                rows.append(end_features(cut))
-                labels.append(1)
-    return linear.fit(rows, np.array(labels))
+                rows.append(model.features(cut))
+                truth.append(1)
+    model.weights = linear.fit(rows, np.array(truth))
+    return model
 
 
-def judged(df: DataFrame, model: np.ndarray, base: float = 0.015, marked: float = 0.9) -> DataFrame:
+def judged(df: DataFrame, model: Endings, base: float = 0.015, marked: float = 0.9) -> DataFrame:
     """``df`` (with tail, excess, sharp) -> doc_id, source, field, cut, mark, odds."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        model = shared.value
         for part in parts:
             texts = [t.rstrip().rsplit("\n", 1)[-1].strip() for t in part["tail"]]
             bare = [MARK.sub("", t) if MARK.search(t) else t for t in texts]
             marks = np.array([b != t for b, t in zip(bare, texts)], dtype=bool)
-            odds = linear.score(w, [end_features(b) if b else [] for b in bare]).astype(float)
+            odds = model.odds(bare)
             prior = part.excess.clip(0.0, 0.99).fillna(0.0).to_numpy()
             prior = np.where(marks, np.maximum(prior, marked), np.maximum(prior, base))
             odds = odds + np.log(prior / (1 - prior))
@@ -156,7 +191,8 @@ def judged(df: DataFrame, model: np.ndarray, base: float = 0.015, marked: float
 def cut_values(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Every value that isn't blank with doc_id, source, field, cut, mark, odds."""
     tails = values(df).select(
-        "doc_id", "source", "field", F.length("value").cast("long").alias("chars"), F.octet_length("value").cast("long").alias("bytes"), F.substring("value", -TAIL, TAIL).alias("tail"), F.col("value").rlike(r"(…|\.\.\.|[\])])\s*$").alias("marked")
+        "doc_id", "source", "field", F.length("value").cast("long").alias("chars"), F.octet_length("value").cast("long").alias("bytes"), F.substring("value", -TAIL, TAIL).alias("tail"), F.col("value").rlike(r"(…|\.\.\.|[\])])\s*$").alias("marked"),
+        F.xxhash64(F.regexp_replace("value", r"[0-9a-f]*\d[0-9a-f]*", "0")).alias("digest"),
     )
     tails = stored(spark, tails, "p4-tails")
     limits = significant(length_tests(tails)).select("source", "field", "unit", "run", "n", "n_marked", F.explode(F.sequence(F.col("length") - F.col("run") + 1, F.col("length"))).alias("length"), "excess")

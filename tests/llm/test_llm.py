@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import history, linear, mix, pagebody, pii, queries, residue, sitelines, truncation
+from tessera.llm import history, mix, pagebody, pii, queries, residue, sitelines, truncation
 from tessera.llm.common import tokenizer_path
 from tessera.llm.encode import BytePairEncoder, count_column, encode_column
 
@@ -203,23 +203,23 @@ def test_lines_odd_inputs(spark):
 
 def test_length_limits_are_found_and_natural_lengths_are_not(spark):
     rng = np.random.default_rng(2)
-    lengths = [("s", "f", int(n), int(n), False) for n in rng.normal(1000, 300, 3000).clip(50, 1500)] + [("t", "f", int(n), int(n), False) for n in rng.normal(1000, 300, 3000).clip(50, 4000)]
-    df = spark.createDataFrame(lengths, "source string, field string, chars long, bytes long, marked boolean")
+    lengths = [("s", "f", int(n), int(n), False, i) for i, n in enumerate(rng.normal(1000, 300, 3000).clip(50, 1500))] + [("t", "f", int(n), int(n), False, i) for i, n in enumerate(rng.normal(1000, 300, 3000).clip(50, 4000))]
+    df = spark.createDataFrame(lengths, "source string, field string, chars long, bytes long, marked boolean, digest long")
     found = {(r.source, r.length) for r in truncation.significant(truncation.length_tests(df)).where("run = 1").collect()}
     assert ("s", 1500) in found and not [x for x in found if x[0] == "t"]
 
 
 def test_endings_on_held_out_lines():
     d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["body_text"]).body_text.dropna().tolist()
-    w = truncation.fit_endings(d[:500])
+    model = truncation.fit_endings(d[:500])
     rng = random.Random(1)
     good, cut = [], []
     for b in d[500:]:
         for x in b.split("\n")[:-1]:
             if len(x.strip()) > 60:
-                good.append(truncation.end_features(x.strip()))
-                cut.append(truncation.end_features(x.strip()[: rng.randrange(30, len(x.strip()) - 3)].rstrip()))
-    assert (linear.score(w, good) < 0).mean() > 0.97 and (linear.score(w, cut) > 0).mean() > 0.9
+                good.append(x.strip())
+                cut.append(x.strip()[: rng.randrange(30, len(x.strip()) - 3)].rstrip())
+    assert (model.odds(good) < 0).mean() > 0.97 and (model.odds(cut) > 0).mean() > 0.9
 
 
 def test_truncation_odd_inputs(spark):
