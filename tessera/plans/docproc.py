@@ -204,12 +204,12 @@ def summary_extract(spark, sf):
 
 @R.add(
     "apply_result",
-    """select doc_id, coalesce(nullif(trim(summary), ''), left(text, 100)) as summary_new, case when len(keywords) > 0 then keywords[1:10] else topics end as keywords_new, case when enrichment_quality_score is not null then greatest(0, least(100, enrichment_quality_score)) end as score_new from documents""",
+    """select doc_id, coalesce(nullif(trim(summary), ''), left(text, 100)) as summary_new, case when len(keywords) > 0 then keywords[1:10] else topics end as keywords_new, case when enrichment_quality_score is not null then greatest(0, least(100, enrichment_quality_score)) else -1 end as score_new from documents""",
 )
 def apply_result(spark, sf):
     """What is not empty wins, field by field, with caps."""
     kw = F.when(F.size("keywords") > 0, F.slice("keywords", 1, 10)).otherwise(F.col("topics"))
-    score = F.when(F.col("enrichment_quality_score").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("enrichment_quality_score").cast("int"))))
+    score = F.when(F.col("enrichment_quality_score").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("enrichment_quality_score").cast("int")))).otherwise(F.lit(-1))
     return corpus(spark, sf).select("doc_id", F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.substring("text", 1, 100)).alias("summary_new"), kw.alias("keywords_new"), score.alias("score_new"))
 
 
