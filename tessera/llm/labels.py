@@ -358,6 +358,14 @@ Hier steht später die Zusammenfassung.
 Platzhalter für den Vorspann.
 Platzhaltertext für das Layout der Seite.
 Placeholder for the introduction.
+Sample headline goes in this space.
+Test paragraph, do not publish.
+Testabsatz, nicht veröffentlichen.
+Hier kommt die Überschrift hin.
+Paragraphe de test, ne pas publier.
+Un titre d'exemple prendra place ici.
+Párrafo de prueba, no publicar.
+Aquí va un titular de ejemplo.
 Texte provisoire pour le chapô.
 Texto provisional para la entradilla.
 Beispieltext, bitte durch eigenen Inhalt ersetzen.
@@ -456,6 +464,9 @@ Erreur interne du serveur. Réessayez dans 12 minutes.
 Veuillez activer JavaScript pour voir cette page.
 Sans JavaScript, l'article ne peut pas s'afficher.
 Vous devez autoriser les scripts pour lire ce site.
+Les scripts doivent être autorisés pour lire ce site.
+Los scripts deben estar permitidos para leer este sitio.
+Skripte müssen für diese Seite erlaubt sein.
 Vérification de votre navigateur, environ 9 secondes. Requête 5b7346f2ac
 Página no encontrada. La dirección es errónea o la noticia fue retirada.
 Error 503: el servicio no responde (petición 8d02211862)

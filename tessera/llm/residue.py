@@ -148,7 +148,7 @@ class Detector:
                 size = sizes[a:b]
                 rest = sum(int(n) for n, k, w in zip(size, keep, wrong) if k and not w)
                 amount = int(size[wrong].sum())
-                if amount > rest:
+                if amount > rest or (amount * 2 > rest and amount + rest < 300):  # a few words of a message are its own
                     kind = "notice" if (per[1][a:b] * wrong).sum() >= (per[0][a:b] * wrong).sum() else "filler"
             out.append(kind)
         return out
