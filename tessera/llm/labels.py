@@ -69,6 +69,8 @@ Print this page
 This page was printed from the web
 Read the full story below
 Jump to the comments
+Scroll down for the comments
+Skip to comments below
 Skip to content
 12 comments on “Why rain gauges matter in Caddon”
 Shared 120 times since Monday
@@ -117,6 +119,7 @@ Abo kündigen | Nutzungsbedingungen | Über uns
 Nach oben
 Seite drucken
 Zu den Kommentaren nach unten
+Weiterlesen nach der Anzeige
 Werben beim Boten
 Diesen Beitrag teilen
 Schreiben Sie uns Ihre Meinung
@@ -160,11 +163,16 @@ Contact
 Plan du site
 Imprimer cette page
 Aller aux commentaires
+Descendre aux commentaires
+Lire la suite plus bas
+Continuer sans accepter
+Suivez le Courrier chaque matin
 Lire la suite ci-dessous
 Donnez-nous votre avis
 Abonnez-vous à la lettre du Courrier
 Partager cet article
 Vous avez aimé ? Faites suivre
+Cela vous a plu ? Faites passer
 Soutenez notre travail par un don
 330 commentaires sur « Ce que les armoires changent à Oberlanz »
 Partagé 12 fois depuis vendredi
@@ -213,6 +221,9 @@ Publicidad en el Diario
 Siga leyendo más abajo
 Imprimir esta página
 Ir a los comentarios
+Baje para ver los comentarios
+Continuar sin aceptar
+Siga al Diario cada mañana
 Comparte esta noticia
 Déjanos tu opinión
 ¿Te ha gustado? Pásala

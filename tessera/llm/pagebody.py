@@ -36,6 +36,7 @@ _PUNCTUATION = ".,;:!?…\"“”«»'()[]*"
 _BULLET = re.compile(r"^(?:[*–•▪·]|\d{1,2}[.)])\s+")
 _SPLIT = re.compile(r"\s[—|–]\s|:\s")
 _STEPS = re.compile(r"\s[»›>/|·]\s|\s\s·\s\s")
+_NAME = re.compile(r"(?<=[\w,] )[A-ZÀ-Þ][a-zà-ÿ’-]+(?: [A-ZÀ-Þ][a-zà-ÿ’-]+)?")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _END = re.compile(r"[.!?…][\"”»')\]]*$")
 
@@ -84,6 +85,11 @@ def fit(records: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.nd
     heading = [b[i] for b in bodies for i in range(1, len(b) - 1) if 3 < len(b[i]) < 90 and long(b[i - 1]) and long(b[i + 1]) and once(b[i])][:4_000]
     titles = sorted({t.strip() for t, _ in records if t and len(t.split()) > 2})[:4_000]
     cased = lambda xs: [v for x in xs for v in (x, x.upper(), x.lower())]
+    names = sorted({m for x in prose[:3000] for m in _NAME.findall(x)})
+    rng = np.random.default_rng(5)
+    renamed = lambda x: _NAME.sub(lambda _: names[rng.integers(len(names))], x) if names else x
+    pages = pages + [renamed(x) for x in pages if _NAME.search(x) for _ in range(8)]  # other names in the same lines
+    articles = articles + [renamed(x) for x in articles if _NAME.search(x) for _ in range(4)]
     bulleted = [f"{b} {t}" for i, t in enumerate(titles) for b in [("*", "–", f"{i % 9 + 1}.")[i % 3]]]
     rows = [(x, 0) for x in cased(pages) * 3 + cased(heads) * 3] + [(x, 1) for x in cased(articles) * 3 + prose + heading] + [(x, 0) for x in bulleted[:1500]]
     article = linear.fit([line_features(x) for x, _ in rows], np.array([y for _, y in rows]), epochs=5)
