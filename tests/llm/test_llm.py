@@ -193,6 +193,8 @@ def test_lines_odd_inputs(spark):
     assert got == {(i, 0) for i in range(5)}
     clean = {r.doc_id: r.main_text for r in sitelines.without_lines(df.select("doc_id", "body_text"), spark.createDataFrame(sorted(got), "doc_id long, line_no int")).collect()}
     assert clean[0].startswith("\n123\nOwn") and clean[12] is None and clean[10] == "Share it"
+    tenth = docs(spark, *[{"doc_id": i, "source": "s", "body_text": "Same" if i < 7 else f"Own {'x' * i}"} for i in range(70)])
+    assert sitelines.repeated_places(spark, tenth, sitelines.repeated_lines(tenth)).count() == 7  # exactly a tenth
     counts = sitelines.line_counts(docs(spark, *[{"doc_id": i, "source": "s", "body_text": "Same"} for i in range(6)])).collect()
     assert [(r.n_records, r.n_bodies) for r in counts] == [(6, 1)]  # six copies are one body
     assert sitelines.repeated_places(spark, df.limit(0), sitelines.repeated_lines(df.limit(0))).count() == 0
