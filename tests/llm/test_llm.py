@@ -158,6 +158,20 @@ def test_long_matches_meet():
     assert not set(history.suffix_keys(words)) & set(history.suffix_keys([f"v{i}" for i in range(400)]))
 
 
+@pytest.mark.parametrize("every", [8, 10, 13, 20])
+@pytest.mark.parametrize("n", [40, 100, 200, 300, 1000])
+def test_changed_words_anywhere_are_met(n, every):
+    """Articles with every so many words changed share at least the blocks that aren't touched; random places too."""
+    rng = random.Random(n + every)
+    words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    blocks, least = set(history.block_keys(words)), max(1, n // 6 - n // 8 - 2)
+    for at in range(every):
+        assert len(blocks & set(history.suffix_keys([w if i % every != at else "x" for i, w in enumerate(words)]))) >= least
+    for _ in range(50):
+        places = set(rng.sample(range(n), n // every))
+        assert len(blocks & set(history.suffix_keys([w if i not in places else "x" for i, w in enumerate(words)]))) >= least
+
+
 def test_segments_merge_logarithmically(spark):
     store = history.SuffixStore(spark, 2)
     for i in range(8):
