@@ -2,8 +2,8 @@
 
 Character n-gram models (hashed 4-grams of lower-cased UTF-8, digits read as 0) for filler, notices, residue and
 natural text give each position log-likelihood ratios against natural text. Filler and notices are localised line by
-line and by windows inside long lines; a value is a case if they cover most of what isn't a page part (the model of
-problem 5 tells page parts). Residue is localised by short windows wherever they stand, and the windows' lines are
+line and by windows inside lines (a byte counts if the window around it does); a value is a case if they cover most
+bytes of what isn't a page part (the model of problem 5 tells page parts). Residue is localised by short windows wherever they stand, and the windows' lines are
 checked exactly for a placeholder or an editing note (``PLACE``), since one is enough; what is quoted as code or
 speech is talk about such things and counts as text.
 
@@ -32,6 +32,8 @@ CLASSES = ("filler", "notice", "residue")
 BITS = 18
 #: Bytes of the windows that localise residue, with their thresholds.
 WINDOWS = ((8, 2.0), (24, 4.0))
+#: Bytes on each side of a byte in the windows that localise filler and notices inside lines, and the least mean of a line or window.
+HALF, LEAST = 32, 0.35
 CODE = np.arange(256, dtype=np.uint32)
 CODE[48:58] = 48
 
@@ -95,8 +97,8 @@ class Detector:
         self.pages = pages or Pages(*self.models)
         return self.cases
 
-    def line_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all lines of all texts: score sums (2 x lines), lines with a residue window, bytes, first line of each text."""
+    def line_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all lines of all texts: score sums and bytes covered by windows (2 x lines each), lines with a residue window, bytes, first line of each text."""
         low = [t.lower() for t in texts]
         first = np.cumsum([0] + [t.count("\n") + 1 for t in low])
         data = ("\n".join(low)).encode("utf-8", "replace")
@@ -105,20 +107,25 @@ class Detector:
         starts = np.concatenate([[0], ends + 1])
         sizes = np.concatenate([ends, [len(data)]]) - starts
         at = np.minimum(starts, max(0, len(data) - 1))
-        sums, found = np.zeros((2, len(starts))), np.zeros(len(starts), dtype=bool)
+        sums, cover, found = np.zeros((2, len(starts))), np.zeros((2, len(starts)), dtype=np.int64), np.zeros(len(starts), dtype=bool)
         whole = starts + np.maximum(sizes - 2, 0)  # where the 4-grams of a line end
         last = np.repeat(whole, sizes + 1)[: len(h)]  # no window goes beyond its line
         here = np.arange(len(h))
+        begin = np.repeat(starts, sizes + 1)[: len(h)]
+        left, right = np.maximum(here - HALF, begin), np.maximum(np.minimum(here + HALF, last), np.maximum(here - HALF, begin))
         for k in range(3):
             s = self.ratios[k][h] if len(h) else np.zeros(1, np.float32)
             c = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
             if k < 2:
                 sums[k] = c[np.minimum(whole, len(c) - 1)] - c[np.minimum(starts, len(c) - 1)]
+                if len(h):
+                    inside = np.concatenate([[0], np.cumsum(c[right] - c[left] > LEAST * np.maximum(right - left, HALF))])
+                    cover[k] = inside[starts + sizes] - inside[starts]
                 continue
             for wide, least in WINDOWS:
                 w = c[np.maximum(np.minimum(here + wide, last), here)] - c[:-1] if len(h) else np.zeros(1)
                 found |= (np.maximum.reduceat(w, at) > least) & (sizes > 0)
-        return sums, found, sizes, first
+        return sums, cover, found, sizes, first
 
     def cases(self, texts: list[str | None]) -> list[bool]:
         return [bool(k) for k in self.kinds(texts)]
@@ -126,9 +133,10 @@ class Detector:
     def kinds(self, texts: list[str | None]) -> list[str]:
         """For each value the kind of case, or nothing."""
         own = [t if t and t.strip() else "" for t in texts]
-        sums, window, sizes, first = self.line_scores(own)
+        sums, cover, window, sizes, first = self.line_scores(own)
         per = sums / np.maximum(sizes, 1)
-        bad = ((per[0] > 0.35) | (per[1] > 0.35)) & (sizes > 3)
+        bad = ((per[0] > LEAST) | (per[1] > LEAST)) & (sizes > 3)
+        inner = np.where(bad, sizes, cover.max(0))
         out = []
         for i, t in enumerate(own):
             a, b = first[i], first[i + 1]
@@ -142,7 +150,7 @@ class Detector:
                     if PLACE.search(bare) or _FIELD_LOW.search(bare):
                         kind = "residue"
                         break
-            if t and not kind and bad[a:b].any():
+            if t and not kind and inner[a:b].any():
                 keep = self.pages.kept(t, None)
                 wrong = bad[a:b]
                 size = sizes[a:b]
@@ -150,6 +158,8 @@ class Detector:
                 amount = int(size[wrong].sum())
                 if amount > rest or (amount * 2 > rest and amount + rest < 300):  # a few words of a message are its own
                     kind = "notice" if (per[1][a:b] * wrong).sum() >= (per[0][a:b] * wrong).sum() else "filler"
+                elif int(inner[a:b].sum()) > sum(int(n) for n, k in zip(size - inner[a:b], keep) if k):
+                    kind = "notice" if cover[1][a:b].sum() >= cover[0][a:b].sum() else "filler"
             out.append(kind)
         return out
 

@@ -53,6 +53,24 @@ def test_residue_kinds(fitted, text, kind):
     assert fitted.kinds([text]) == [kind]
 
 
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. "
+
+
+ERROR = "Error 503 Service Unavailable. The server is temporarily unable to service your request. Please try again later."
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("The second group of meter pits did slower work and was closed again. " + ERROR, "notice"), ("Home News About Contact Weather in the valley and tide tables of the week " + ERROR, "notice"),
+        (PROSE + PROSE[:100] + " " + LOREM * 2, "filler"), (LOREM + PROSE * 3, ""), (PROSE * 2 + ERROR, ""), (PROSE * 3, ""),
+    ],
+)
+def test_filler_and_notices_inside_a_line(fitted, text, kind):
+    fitted.ready()
+    assert fitted.kinds([text]) == [kind]
+
+
 def test_residue_is_the_same_in_any_batch(fitted):
     fitted.ready()
     texts = ["404 Not Found", None, PROSE, "", "{{ x }} y", PROSE + "\nTODO: write summary"]
