@@ -168,6 +168,17 @@ def test_repeats_odd_inputs(spark):
     assert history.repeats(spark, docs(spark, *rows).limit(0)).count() == 0
 
 
+def test_bodies_of_few_words_repeat(spark):
+    """Page parts only, few long words, and scripts without spaces: with a change, and told apart."""
+    parts = "\n".join(["Home", "Accept all cookies", "Share this article", "Subscribe to our newsletter", "All rights reserved", "Terms of use"] * 3)
+    long = " ".join(c * 30 for c in "abcdefghij")
+    han = "".join(chr(0x4E00 + random.Random(2).randrange(1, 50) + 37 * i) for i in range(240))
+    bodies = [parts, parts, long, long.replace("j" * 30, "k" * 30), han, han[:100] + "\u4e00" + han[101:], " ".join(c * 30 for c in "qrstuvwxyz"), "-" * 300, "-" * 300]
+    rows = [{"doc_id": i, "batch_no": i % 2 or i > 5, "body_text": b} for i, b in enumerate(bodies)]
+    rows = [r | {"batch_no": int(r["batch_no"])} for r in rows]
+    assert {tuple(r) for r in history.repeats(spark, docs(spark, *rows)).collect()} == {(0, 1), (2, 3), (4, 5)}
+
+
 def test_long_matches_meet():
     rng = random.Random(3)
     words = [f"w{rng.randrange(5000)}" for _ in range(400)]
