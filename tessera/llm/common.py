@@ -41,6 +41,23 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, in whatever file system they are."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, in whatever file system; fails if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def is_blank(c: Column) -> Column:
     """True for null, empty and white-space-only values."""
     return c.isNull() | (F.regexp_replace(c, f"{WHITE}+", "") == "")
