@@ -45,8 +45,8 @@ def words_of(line: str) -> list[str]:
     return re.sub(r"\d+", "0", line.lower().replace("_", " ")).split()
 
 
-def form_features(line: str) -> list[int]:
-    """Hashed outer form of a line and its words at the ends."""
+def form_features(line: str) -> list[str]:
+    """Outer form of a line and its words at the ends."""
     raw = line.split()
     n = len(raw)
     ends = words_of(" ".join(raw[:3] + raw[-2:]))
@@ -54,15 +54,15 @@ def form_features(line: str) -> list[int]:
     first, last = ends[: min(3, n)], ends[-min(2, n) :]
     end = "." if _END.search(line[-12:]) else line[-1:] if not line[-1:].isalnum() else "a"
     stops = line.count(". ") + line.count("! ") + line.count("? ")
-    return linear.hashed([
+    return [
         f"n{min(n, 30) // 2}", "e" + end, f"ne{min(n, 24) // 4}{end}", "s" + (line[0] if not line[0].isalnum() else "U" if line[0].isupper() else "l" if line[0].islower() else "0"),
         f"p{min(3, len(_STEPS.findall(line[:200])))}", "2" + " ".join(first[:2]), "3" + " ".join(first), "l2" + " ".join(last), "1" + (first[0] if first else "") + end, "bias", f"st{min(4, stops)}",
-    ])
+    ]
 
 
 def line_features(line: str) -> list[int]:
     """The form and all words of a line."""
-    return form_features(line) + linear.hashed(["w" + x for w in words_of(line) if len(w) < 40 and (x := w.strip(_PUNCTUATION)) and len(x) < 25])
+    return linear.hashed(form_features(line)) + linear.hashed(["w" + x for w in words_of(line) if len(w) < 40 and (x := w.strip(_PUNCTUATION)) and len(x) < 25])
 
 
 def word_features(line: str) -> list[int]:
@@ -112,6 +112,32 @@ class WordWeights(dict):
         return value
 
 
+class FormWeights(dict):
+    """Weights of features, computed when first met (bounded)."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, feature: str) -> float:
+        value = float(self.weights[linear.hashed([feature])[0]])
+        if len(self) < 2 * MEMO:
+            self[feature] = value
+        return value
+
+
+class Known(dict):
+    """How much a token tells of a line, as far as it is a word: the size of its weight, computed when first met (bounded)."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        value = max((abs(float(self.weights[i])) for i in word_features(token)), default=-1.0)
+        if len(self) < 2 * MEMO:
+            self[token] = value
+        return value
+
+
 class Pages:
     """Scores lines and finds the article."""
 
@@ -119,26 +145,28 @@ class Pages:
         self.article, self.title, self.switch = article, title, switch
         self.heads = {plain(x) for x in labels.lines(labels.TEASER_HEADS)}
         self.memo: dict[str, tuple[float, float, str]] = {}
-        self.article_list, self.title_list = article.tolist(), title.tolist()
+        self.article_form, self.title_form = FormWeights(article), FormWeights(title)
         self.article_words, self.title_words = WordWeights(article), WordWeights(title)
+        self.known = Known(article)
 
-    def total(self, line: str, weights: list[float], words: WordWeights) -> float:
-        """The sum of the weights of ``line_features``, its words looked up."""
-        return sum(map(weights.__getitem__, form_features(line))) + sum(map(words.__getitem__, line.split()))
+    @staticmethod
+    def total(line: str, form: FormWeights, words: WordWeights) -> float:
+        """The sum of the weights of ``line_features``, looked up."""
+        return sum(map(form.__getitem__, form_features(line))) + sum(map(words.__getitem__, line.split()))
 
     def scores(self, line: str) -> tuple[float, float, str]:
         """Log odds of an article's line and of a title (also behind a bullet or before a blurb); a short line's words."""
         known = self.memo.get(line)
         if known is None:
-            a = self.total(line, self.article_list, self.article_words)
+            a = self.total(line, self.article_form, self.article_words)
             t = -9.0
             if len(line) < 320:
                 bare = _BULLET.sub("", line)
                 if bare and len(bare) < 160:
-                    t = self.total(bare, self.title_list, self.title_words)
+                    t = self.total(bare, self.title_form, self.title_words)
                 cut = _SPLIT.search(bare)
                 if cut and 8 < cut.start() < 160:
-                    t = max(t, self.total(bare[: cut.start()], self.title_list, self.title_words))
+                    t = max(t, self.total(bare[: cut.start()], self.title_form, self.title_words))
             if abs(a) > 1 and len(line) < 160 and self.unknown(line):
                 a = max(-1.0, min(1.0, a))  # words the model doesn't know: the lines around decide
             known = (max(-5.0, min(5.0, a)), t, plain(line) if len(line) < 200 else "")
@@ -152,8 +180,7 @@ class Pages:
         """Whether the model has no weight for any word, or the line is hardly in a script that it knows."""
         if len(_LATIN.findall(line)) * 2 < len(line.replace(" ", "")):
             return "©" not in line and len(_STEPS.findall(line)) < 3
-        known = self.article[word_features(line)]
-        return not len(known) or float(np.abs(known).max()) < 0.05
+        return max(map(self.known.__getitem__, line.split()), default=-1.0) < 0.05
 
     def kept(self, body: str, own_title: str | None) -> list[bool | None]:
         """For each line whether it belongs to the article; None for blank lines."""
