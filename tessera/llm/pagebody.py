@@ -33,6 +33,7 @@ SAMPLE = 3000
 MEMO = 100_000
 
 _PUNCTUATION = ".,;:!?…\"“”«»'()[]*"
+_NUMBER = re.compile(r"\d+")
 _BULLET = re.compile(r"^(?:[*–•▪·]|\d{1,2}[.)])\s+")
 _SPLIT = re.compile(r"\s[—|–]\s|:\s")
 _STEPS = re.compile(r"\s[»›>/|·]\s|\s\s·\s\s")
@@ -42,7 +43,7 @@ _END = re.compile(r"[.!?…][\"”»')\]]*$")
 
 
 def words_of(line: str) -> list[str]:
-    return re.sub(r"\d+", "0", line.lower().replace("_", " ")).split()
+    return _NUMBER.sub("0", line.lower().replace("_", " ")).split()
 
 
 def form_features(line: str) -> list[str]:
