@@ -390,6 +390,20 @@ Su contenido aparecerá aquí.
 Texto de relleno para la maqueta.
 Aquí irá el resumen.
 Esto es una prueba, no la tenga en cuenta.
+Bacon ipsum dolor amet pork belly brisket tenderloin short ribs, andouille pastrami flank venison drumstick.
+Cupcake ipsum dolor sit amet wafer gummies tiramisu jelly beans croissant marzipan topping.
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam.
+Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores.
+At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti.
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum tortor quam.
+Curabitur pretium tincidunt lacus, nulla gravida orci a odio. Nullam varius, turpis et commodo pharetra, est eros bibendum elit.
+Mauris blandit aliquet elit, eget tincidunt nibh pulvinar a. Vivamus magna justo, lacinia eget consectetur sed, convallis at tellus.
+Donec sollicitudin molestie malesuada. Proin eget tortor risus. Vivamus suscipit tortor eget felis porttitor volutpat.
+Quisque velit nisi, pretium ut lacinia in, elementum id enim. Praesent sapien massa, convallis a pellentesque nec, egestas non nisi.
+Integer nec odio praesent libero sed cursus ante dapibus diam. Sed nisi nulla quis sem at nibh elementum imperdiet.
+Fusce nec tellus sed augue semper porta mauris massa. Class aptent taciti sociosqu ad litora torquent per conubia nostra.
+Phasellus ultrices nulla quis nibh. Aenean fermentum, elit eget tincidunt condimentum, eros ipsum rutrum orci, sagittis tempus lacus enim ac dui.
+Li Europan lingues es membres del sam familie. Lor separat existentie es un myth.
 """
 
 #: Error messages and demands to allow scripts.
@@ -495,6 +509,30 @@ Active JavaScript para leer el resumen.
 Debe permitir los scripts para leer este sitio.
 Sin JavaScript no se puede mostrar la noticia.
 Comprobando su navegador, unos 9 segundos. Petición 5b7346f2ac
+Warning: mysqli_connect(): (HY000/2002): Connection refused in /var/www/html/wp-includes/db.php on line 12
+Warning: include(/home/site/public_html/header.php): failed to open stream: No such file or directory in /home/site/index.php on line 3
+Notice: Undefined index: title in /var/www/site/page.php on line 41
+Parse error: syntax error, unexpected end of file in /var/www/html/functions.php on line 210
+Uncaught TypeError: Cannot read properties of null
+java.lang.NullPointerException at com.example.Page.render(Page.java:88)
+The requested URL was not found on this server.
+The server encountered an internal error or misconfiguration and was unable to complete your request.
+This site can't be reached. The connection was reset.
+Database connection failed. Please contact the administrator.
+Sorry, you have been blocked. You are unable to access this site.
+Enable JavaScript and cookies to continue
+This website requires JavaScript. Please turn it on and reload the page.
+JavaScript is disabled in your browser. Please enable it to proceed.
+Questa pagina richiede JavaScript. Attivalo nel browser per continuare.
+Per visualizzare questo sito è necessario abilitare JavaScript.
+Pagina non trovata. L'indirizzo è errato o l'articolo è stato rimosso.
+Errore interno del server. Riprova più tardi.
+Esta página requer JavaScript. Ative-o no navegador.
+Página não encontrada. O endereço está errado.
+Schakel JavaScript in om deze pagina te bekijken.
+Pagina niet gevonden. Probeer het later opnieuw.
+Aby zobaczyć tę stronę, włącz obsługę JavaScript.
+Sidan kunde inte hittas. Aktivera JavaScript i webbläsaren.
 """
 
 #: Unfilled fields and editing notes.
@@ -522,8 +560,11 @@ TODO: sustituir la entradilla antes de publicar PENDIENTE
 """
 
 #: Names of fields and the marks that templates put around them.
-FIELDS = "agency article author author_org body brand city client company country date description doc event excerpt field first_name headline intro lead location name org org_name orgUnit page partner place place.title publisher region section siteName site_name subtitle summary teaser title town unit user venue resumen resume zusammenfassung nombre prenom nom nachname anrede vorname titulo titre titel entradilla chapo teaser verlag ort ville ciudad autor auteur fecha datum".split()
-MARKS = ("{{%s}}", "{{ %s }}", "{%% %s %%}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "[[%s]]", "<<%s>>", "@@%s@@", "%%%%%s%%%%", "%%%s%%", "__%s__", "$%s$", "&lt;%s&gt;", "[%s]")
+FIELDS = "agency article author author_org body brand city client company country date description doc event excerpt field first_name headline intro lead location name org org_name orgUnit page partner place place.title publisher region section siteName site_name subtitle summary teaser title town unit user venue resumen resume zusammenfassung nombre prenom nom nachname anrede vorname titulo titre titel entradilla chapo teaser verlag ort ville ciudad autor auteur fecha datum phone email address zip state number amount total currency start end time year month day week image link url code key value text content header footer category tags label question answer comment account contact customer order invoice delivery service position salutation greeting signature subject message strasse telefon betrag bestellung kunde adresse montant commande calle pedido cliente importe".split()
+MARKS = ("*|%s|*", "##%s##", "{!%s}", "{$%s}", "<?= $%s ?>", "[%% %s %%]", "{#%s#}", "||%s||", "~~%s~~", "{{%s}}", "{{ %s }}", "{%% %s %%}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "[[%s]]", "<<%s>>", "@@%s@@", "%%%%%s%%%%", "%%%s%%", "__%s__", "$%s$", "&lt;%s&gt;", "[%s]")
+
+#: What stands in brackets where a value should.
+NOTED = "TBD|TBA|TBC|phone number|phone|email address|email|first name|last name|full name|address|job title|Vorname|Nachname|Telefonnummer|prénom|nom|téléphone|nombre|apellidos|teléfono".split("|")
 
 #: Prose that only talks about such things.
 ABOUT = """
@@ -545,7 +586,7 @@ A template such as a greeting with a name is only filled when the mail job runs,
 
 def fields() -> list[str]:
     """Every field in every kind of marks, in the middle of a sentence."""
-    return [m % f for f in FIELDS for m in MARKS]
+    return [m % f for f in FIELDS for m in MARKS] + [f"[{x}]" for x in NOTED]
 
 
 def lines(block: str) -> list[str]:

@@ -31,9 +31,13 @@ from tessera.llm.pagebody import fit as fit_pages
 CLASSES = ("filler", "notice", "residue")
 BITS = 18
 #: Bytes of the windows that localise residue, with their thresholds.
-WINDOWS = ((8, 2.0), (24, 4.0))
+WINDOWS = ((8, 1.0), (24, 4.0))
 #: Bytes on each side of a byte in the windows that localise filler and notices inside lines, and the least mean of a line or window.
 HALF, LEAST = 32, 0.35
+#: Characters of values that are scored together.
+PART = 100_000
+#: Bytes of other text that a filler or notice may have beside it without covering more.
+OWN = 100
 CODE = np.arange(256, dtype=np.uint32)
 CODE[48:58] = 48
 
@@ -42,9 +46,13 @@ PLACE = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|<<\s*[\w .-]{2,40}>>|@@\w[\w .-]{1,40}@@|%%\w[\w .-]{1,40}%%"
     r"|%[A-Za-z][A-Za-z_.]{2,40}%|__[A-Za-z][A-Za-z_]{1,40}?__|\$[A-Za-z][A-Za-z_. ]{1,40}\$|&lt;/?[A-Za-z_. ]{2,40}&gt;|\{\s*(?:\d|[A-Za-z_.]{2,40})\s*\}|<[A-Z][A-Z_ ]{2,40}>"
     r"|\[(?:[A-ZÀ-Þ]{2,}[A-ZÀ-Þ_.]*)(?:[ _'’-][A-ZÀ-Þ_]+){0,6}\]|\[[Yy]our [^\]\n]{2,30}\]|\[(?:[Cc]ompany|[Nn]ame|[Cc]ity|[Dd]ate|[Tt]itle|[Ii]hr [^\]\n]{2,30}|[Vv]otre [^\]\n]{2,30}|[Ss]u [^\]\n]{2,30})\]"
+    r"|\*\|[A-Za-z_:. ]{2,40}\|\*|##[A-Za-z_.]{2,40}##|\{![A-Za-z_.$ ]{2,60}\}|\{\$[A-Za-z_.]{2,60}\}|<\?=?[^?\n]{1,60}\?>|\[%[^%\n]{1,60}%\]|\{#[^#\n{}]{1,60}#\}|\|\|[A-Z_]{2,40}\|\||~~[A-Z_]{2,40}~~"
+    r"|\[(?:TB[ACD]|tb[acd]|[Pp]hone(?: number)?|[Ee]-?mail(?: address)?|[Ff]irst name|[Ll]ast name|[Ff]ull name|[Aa]ddress|[Jj]ob title|[Vv]orname|[Nn]achname|[Tt]elefon(?:nummer)?|[Pp]rénom|[Nn]om|[Tt]éléphone|[Nn]ombre|[Aa]pellidos?|[Tt]eléfono)\]"
     r"|\[object object\]|\bundefined\b|\bNaN\b|\bTO ?DO\b(?=\s*[:\])-])|\bFIXME\b|\bT[KB][DC]?\b|\bXXX\b|\bÀ COMPLÉTER\b|\bPENDIENTE\b"
 )
 _FIELD_LOW = re.compile(r"\{\{|\{%|<%|[$#]\{|\[\[|<<\s*\w|@@\w|%%\w|&lt;\w|\[object object\]|\[insert|\[hier |\[insér|\[insertar|\btodo\s?:|\(\w+ tk\)|\badd a short description\b|hier eine kurze beschreibung ein|ajoutez ici une courte description|añada aquí una breve descripción", re.I)
+#: Whatever matches either has a character or word of these.
+_SOME = re.compile(r"[{}<\[%$#@_*|~&]|undefined|NaN|TO ?DO|FIXME|T[KB]|XXX|COMPLÉTER|PENDIENTE|tk\)|todo\s?:|short description|kurze beschreibung|courte description|breve descripción", re.I)
 _QUOTED = re.compile(r"`[^`\n]*`|[“„«‘][^”“»’\n]{0,120}[”“»’]|<\|[^|\n]*\|>|\"[^\"\n]{0,120}\"|\[\d\d:\d\d(?::\d\d)?\]|\[(?:\.{3}|…|at|dot|\+\d+ \w+)\]", re.I)
 
 #: Words of sentences that explain placeholders rather than leave one.
@@ -131,7 +139,19 @@ class Detector:
         return [bool(k) for k in self.kinds(texts)]
 
     def kinds(self, texts: list[str | None]) -> list[str]:
-        """For each value the kind of case, or nothing."""
+        """For each value the kind of case, or nothing. Few values at a time, so that their arrays stay in the processor's cache."""
+        out: list[str] = []
+        part: list[str | None] = []
+        size = 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size > PART:
+                out += self._kinds(part)
+                part, size = [], 0
+        return out + self._kinds(part) if part else out
+
+    def _kinds(self, texts: list[str | None]) -> list[str]:
         own = [t if t and t.strip() else "" for t in texts]
         sums, cover, window, sizes, first = self.line_scores(own)
         per = sums / np.maximum(sizes, 1)
@@ -144,6 +164,8 @@ class Detector:
             if t and window[a:b].any():
                 lines = t.split("\n")
                 for no in np.flatnonzero(window[a:b]):
+                    if not _SOME.search(lines[no]):
+                        continue
                     bare = _QUOTED.sub(" ", lines[no])
                     if _TALK.search(bare):
                         bare = " ".join(x for x in re.split(r"(?<=[.!?])\s+", bare) if not _TALK.search(x))
@@ -156,7 +178,7 @@ class Detector:
                 size = sizes[a:b]
                 rest = sum(int(n) for n, k, w in zip(size, keep, wrong) if k and not w)
                 amount = int(size[wrong].sum())
-                if amount > rest or (amount * 2 > rest and amount + rest < 300):  # a few words of a message are its own
+                if amount > rest - min(rest // 2, OWN):  # a few words of a message are its own
                     kind = "notice" if (per[1][a:b] * wrong).sum() >= (per[0][a:b] * wrong).sum() else "filler"
                 elif int(inner[a:b].sum()) > sum(int(n) for n, k in zip(size - inner[a:b], keep) if k):
                     kind = "notice" if cover[1][a:b].sum() >= cover[0][a:b].sum() else "filler"
