@@ -69,9 +69,10 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
 
 def sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most ``rows`` rows, spread over the whole table by a hash of the key: what a model is fitted on."""
+    """At most ``rows`` rows, those with the least hash of the key: what a model is fitted on, whatever order rows come in."""
     total = df.select(key).count()
     if total <= rows:
         return df
-    part = (1 << 63) / total * rows * 0.98
-    return df.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 1) < F.lit(int(part)).cast("long")).limit(rows)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 1)
+    part = (1 << 63) / total * (rows + 6 * rows**0.5)  # nearly always some more than asked for
+    return df.where(order < F.lit(int(min(part, (1 << 63) - 1))).cast("long")).orderBy(order, key).limit(rows)

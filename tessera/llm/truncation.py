@@ -3,8 +3,10 @@
 1. Lengths. For every source, field and unit (characters, UTF-8 bytes) the values are counted by length, then window
    functions over the counted lengths (never over records) give the discrete hazard of each length: values of that
    length among those at least as long. A limit shows as a length, or a short run of lengths where cuts fall on word
-   ends or before a mark, with more values than its neighbours' hazards explain. The Poisson tail is bounded by
-   Chernoff's inequality, and Benjamini and Hochberg's rule controls false discoveries within source, field and unit.
+   ends or before a mark, whose hazard is above that of the lengths around it. The binomial tail (the values that end
+   among those at risk, at the neighbours' hazard) is bounded by Chernoff's inequality, and Benjamini and Hochberg's
+   rule controls false discoveries within source, field and unit. Every length that passes counts; what the hazards
+   around it don't explain of its values (``excess``) is the prior that one of them was cut there.
 2. Endings. A logistic model tells complete line ends from cut ones. It teaches itself: lines inside bodies are
    complete, whatever they are (prose, titles, lists, signatures, page parts), and the same lines cut at random
    places are not. It is fitted on the lines of at most ``SAMPLE`` records and applied to every value's last line.
@@ -12,11 +14,11 @@
    excess at a significant length, a small base rate elsewhere, high where a mark of omission ends the value). A
    finished sentence is a case only at a single length that nearly no value would have by itself.
 
-Plan: one scan for the counts (map-side combined), one for the last lines; only tails of at most 400 characters go
-to Python. The significant lengths are joined to the values by source, field and length.
+Plan: one scan for lengths and last lines, which alone go to Python; counts are map-side combined. The significant
+lengths are joined to the values by source, field and length.
 
 Defined cases: null, empty and blank values are none. A null source is a source of its own. Repeated rows count
-each. Very long values are judged by their last line (its last 400 characters). Empty tables give empty results.
+each. Very long values are judged by their whole last line. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import labels, linear
@@ -35,7 +37,8 @@ from tessera.llm.common import documents, is_blank, sample, stored
 
 SAMPLE = 3000
 FIELDS = ("body_text", "summary")
-TAIL = 400
+#: Fixed value: white space.
+SPACE = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Marks of omission, and what a transfer broken off inside a tag, an entity or a character leaves at the end.
 MARK = re.compile(
@@ -54,7 +57,10 @@ def values(df: DataFrame) -> DataFrame:
 
 
 def length_tests(lengths: DataFrame, near: int = 40, gap: int = 3) -> DataFrame:
-    """source, field, unit, length, n, at_risk, expected, log_p, excess for runs of 1 and 12 lengths.
+    """source, field, unit, length, n_marked, run, n, at_risk, hazard, expected, log_p, excess for runs of 1 and 12 lengths.
+
+    ``hazard`` is the higher of the hazards ``gap`` to ``near`` lengths before and after the run, ``expected`` what it
+    explains of the ``n`` values that end in the run.
 
     ``lengths``: source, field, chars, bytes, marked (ends with a mark of omission), digest of each value. Values that
     differ in digits only count once (messages of one form have one length without any limit).
@@ -64,30 +70,39 @@ def length_tests(lengths: DataFrame, near: int = 40, gap: int = 3) -> DataFrame:
     once = lengths.groupBy("source", "field", "chars", "bytes", "marked", "digest").agg(F.lit(1).alias("one"))
     count = once.select("source", "field", "marked", units).groupBy("source", "field", "u.unit", "u.length").agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"))
     own = Window.partitionBy(*key).orderBy("length")
-    risk = count.withColumn("at_risk", F.sum("n").over(own.rowsBetween(0, Window.unboundedFollowing)))
-    around = [(-near - 11, -gap - 11), (gap, near)]
-    died = sum((F.coalesce(F.sum("n").over(own.rangeBetween(a, b)), F.lit(0)) for a, b in around), F.lit(0))
-    span = sum(b - a + 1 for a, b in around)
-    tests = risk.select(
-        *key, "length", "n", "n_marked", "at_risk",
-        (F.sum("n").over(own.rangeBetween(-11, 0))).alias("n_run"),
-        (died + F.lit(1)).alias("near"), F.lit(float(span)).alias("span"),
-    )
-    each = tests.select(*key, "length", "n_marked", "at_risk", "near", "span", F.explode(F.array(F.struct(F.lit(1).alias("run"), F.col("n").alias("n")), F.struct(F.lit(12).alias("run"), F.col("n_run").alias("n")))).alias("r"))
-    each = each.select(*key, "length", "n_marked", "at_risk", "r.run", "r.n", (F.col("near") / F.col("span") * F.col("r.run")).alias("expected"))
-    lam, n = F.col("expected"), F.col("n")
-    each = each.withColumn("log_p", F.when(n > lam, n - lam + n * F.log(lam / n)).otherwise(F.lit(0.0)))
-    return each.withColumn("excess", (n - lam) / n)
+    length = F.col("length")
+
+    def ended(a: int, b: int) -> Column:
+        """Values whose lengths are by ``a`` to ``b`` above this one."""
+        return F.coalesce(F.sum("n").over(own.rangeBetween(a, b)), F.lit(0))
+
+    def exposed(a: int, b: int) -> Column:
+        """The same lengths' values at risk, added up over these lengths: each value counts once for every length it reaches."""
+        before = F.greatest(length + a - 1, F.lit(0))
+        reached = F.coalesce(F.sum(F.col("n") * length).over(own.rangeBetween(a, b)), F.lit(0)) - ended(a, b) * before
+        return reached + (F.greatest(length + b, F.lit(0)) - before) * F.coalesce(F.sum("n").over(own.rangeBetween(b + 1, Window.unboundedFollowing)), F.lit(0))
+
+    def test(run: int) -> Column:
+        """A run of lengths that ends here, and the hazard on both sides of it."""
+        sides = ((-near - run + 1, -gap - run + 1), (gap, near))
+        hazard = F.greatest(*[(ended(a, b) + 1) / (exposed(a, b) + b - a + 1) for a, b in sides])  # the higher of both, as hazards may rise
+        return F.struct(F.lit(run).alias("run"), ended(1 - run, 0).alias("n"), exposed(1 - run, 0).alias("at_risk"), hazard.alias("hazard"))
+
+    tests = count.select(*key, "length", "n_marked", F.array(test(1), test(12)).alias("tests")).select(*key, "length", "n_marked", F.explode("tests").alias("t"))
+    each = tests.select(*key, "length", "n_marked", "t.*").withColumn("expected", F.col("at_risk") * F.col("hazard"))
+    n, risk, h = F.col("n"), F.col("at_risk"), F.least(F.col("hazard"), F.lit(1 - 1e-9))
+    left = F.when(risk > n, (risk - n) * F.log((risk - n) / risk / (1 - h))).otherwise(F.lit(0.0))
+    return each.withColumn("log_p", F.when(n > risk * h, -(n * F.log(n / risk / h) + left)).otherwise(F.lit(0.0))).withColumn("excess", F.greatest(F.lit(0.0), (n - F.col("expected")) / n))
 
 
-def significant(tests: DataFrame, fdr: float = 0.01, least: int = 4) -> DataFrame:
+def significant(tests: DataFrame, fdr: float = 0.01) -> DataFrame:
     """The lengths that stand out, by Benjamini and Hochberg's rule within source, field and unit."""
     own = Window.partitionBy("source", "field", "unit").orderBy("log_p", "length", "run")
     whole = Window.partitionBy("source", "field", "unit")
     ranked = tests.withColumn("k", F.row_number().over(own)).withColumn("m", F.count("*").over(whole))
     passed = F.col("log_p") <= F.log(F.col("k") / F.col("m") * F.lit(fdr))
     most = F.max(F.when(passed, F.col("k")).otherwise(0)).over(whole)
-    return ranked.withColumn("most", most).where((F.col("k") <= F.col("most")) & (F.col("n") >= least) & (F.col("excess") >= F.when(F.col("run") == 1, 0.8).otherwise(0.88))).drop("k", "m", "most")
+    return ranked.withColumn("most", most).where(F.col("k") <= F.col("most")).drop("k", "m", "most")
 
 
 class Endings:
@@ -149,7 +164,6 @@ def fit_endings(bodies: list[str], seed: int = 4, most: int = 30_000) -> Endings
     lines += [x for x, n in ends.items() if n > 1 for _ in range(min(n, 5))] + [v for x in known for v in (x, x, x.upper())]
     model = Endings(lines)
     for line in lines:
-        line = line[-TAIL:]
         rows.append(model.features(line))
         truth.append(0)
         if len(line) > 12:
@@ -191,10 +205,10 @@ def judged(df: DataFrame, model: Endings, base: float = 0.015, marked: float = 0
 def cut_values(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Every value that isn't blank with doc_id, source, field, cut, mark, odds."""
     tails = values(df).select(
-        "doc_id", "source", "field", F.length("value").cast("long").alias("chars"), F.octet_length("value").cast("long").alias("bytes"), F.substring("value", -TAIL, TAIL).alias("tail"), F.col("value").rlike(r"(…|\.\.\.|[\])])\s*$").alias("marked"),
+        "doc_id", "source", "field", F.length("value").cast("long").alias("chars"), F.octet_length("value").cast("long").alias("bytes"), F.substring_index(F.rtrim("value", F.lit(SPACE)), "\n", -1).alias("tail"),
         F.xxhash64(F.regexp_replace("value", r"[0-9a-f]*\d[0-9a-f]*", "0")).alias("digest"),
     )
-    tails = stored(spark, tails, "p4-tails")
+    tails = stored(spark, tails.withColumn("marked", F.col("tail").rlike(r"(…|\.\.\.|[\])])$")), "p4-tails")
     limits = significant(length_tests(tails)).select("source", "field", "unit", "run", "n", "n_marked", F.explode(F.sequence(F.col("length") - F.col("run") + 1, F.col("length"))).alias("length"), "excess")
     limits = limits.groupBy("source", "field", "unit", "length").agg(F.max("excess").alias("excess"), F.max(F.when((F.col("run") == 1) & (F.col("n_marked") * 2 < F.col("n")), F.col("excess"))).alias("sharp"))
     limits = stored(spark, limits, "p4-limits")
