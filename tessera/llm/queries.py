@@ -8,12 +8,12 @@ from importlib import import_module
 _BY_MODULE = {
     "residue": ["p1_found", "p1_windows"],
     "history": ["p2_found"],
-    "sitelines": ["p3_found", "p3_clean"],
+    "sitelines": ["p3_found", "p3_clean", "p3_boilerplate"],
     "truncation": ["p4_found", "p4_report"],
     "pagebody": ["p5_found", "p5_clean"],
     "encode": ["p6_ids"],
     "mix": ["p7_mix", "p7_report"],
-    "pii": ["p8_found", "p8_redacted"],
+    "pii": ["p8_found", "p8_redacted", "p8_surrogates"],
 }
 
 
