@@ -4,7 +4,7 @@ Method: a backtracking encoder. An Aho-Corasick automaton over the vocabulary fi
 piece; from each position the longest is tried first and kept only if it is *compatible* with the token before it,
 that is if merging the two tokens' bytes gives just these two tokens back. A sequence whose neighbours are all
 compatible is the exact merge result, and a position that failed once can never be part of it, so each is
-tried once. The compatibility table is filled as pairs are met. Decoding slices one byte string by an offset table.
+tried once. The compatibility table is filled as pairs are met (bounded; refilled after overflow). Decoding slices one byte string by an offset table.
 
 The text is first cut into pieces by the vocabulary's split pattern. Each task keeps the ids of pieces it has met
 (bounded; refilled after overflow), which changes speed only.
@@ -31,6 +31,9 @@ from tessera.llm.common import documents, tokenizer_path
 #: Fixed value: the split pattern of the rank files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pairs that the compatibility table holds at most (some 100 MB); it is filled again when full.
+FITS = 1_000_000
+
 
 class BytePairEncoder:
     """Exact byte-pair encoding of strings with the ranks of a ``.tiktoken`` file."""
@@ -51,7 +54,7 @@ class BytePairEncoder:
         self.length = [len(t) for t in self.token]
         self.offsets = np.concatenate([[0], np.cumsum(self.length)])
         self.bytes = "".join(self.token).encode("latin-1")
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}  # bounded like the memo
         self.memo: dict[str, list[int]] = {}
         self.most = memo
         self.size = size
@@ -71,6 +74,8 @@ class BytePairEncoder:
                 if best == 1 << 60:
                     break
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             known = self.fits[key] = len(parts) == 2 and len(parts[0]) == left
         return known
 

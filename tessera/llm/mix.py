@@ -8,10 +8,12 @@
    ``BLOCKS`` sub-blocks, until single records are left. So the quota is met to within one record.
 3. A splitting tree deals blocks to output shards: at each node the multivariate hypergeometric distribution splits
    the exact number of blocks of each source between left and right; at the leaves each source's blocks, in keyed
-   permutation, are drawn without replacement. ``order_key`` shuffles within a shard.
+   permutation, are drawn without replacement. Where the blocks are too few for the shards wanted (the driver's table
+   stays as it is), tasks split on: each block has ``LEAF`` sub-blocks for every further shard, and a keyed permutation
+   of these gives each shard exactly as many. Rows are moved to their shard and shuffled there by ``order_key``.
 
 Plan: the deal table is bounded by sources x blocks x repeats and broadcast; records are never sorted or windowed by
-source, so a source with most of the rows costs no more than its share.
+source, so a source with most of the rows costs no more than its share. One shuffle of the result, by shard.
 
 Defined cases: sources that aren't listed, null and empty texts take no part. A listed source without any token
 reports an actual share of 0 and doesn't limit the others. A repeated row is a record of its own key but shares its
@@ -30,6 +32,9 @@ from tessera.llm.encode import count_column
 
 BLOCKS_BITS = 10
 BLOCKS = 1 << BLOCKS_BITS
+#: Blocks that a shard has at least, as a power of two.
+LEAF_BITS = 4
+LEAF = 1 << LEAF_BITS
 
 
 def sized(spark: SparkSession, docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
@@ -107,8 +112,8 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_tree(draw, left, rng), split_tree(counts - draw, shards - left, rng)])
 
 
-def deal(blocks: pd.DataFrame, plan: pd.DataFrame, cut: dict[str, int], shard_tokens: int, seed: int) -> pd.DataFrame:
-    """source, block, copy, shard: which shard gets which copy of which block."""
+def deal(blocks: pd.DataFrame, plan: pd.DataFrame, cut: dict[str, int], shard_tokens: int, seed: int) -> tuple[pd.DataFrame, int]:
+    """source, block, copy, shard: which shard gets which copy of which block; into how many (as a power of two) each is split."""
     rng = np.random.default_rng(seed)
     units = []
     for r in plan.itertuples():
@@ -119,13 +124,15 @@ def deal(blocks: pd.DataFrame, plan: pd.DataFrame, cut: dict[str, int], shard_to
             units.append(pd.DataFrame({"source": r.source, "block": use, "copy": copy}))
     table = pd.concat(units, ignore_index=True) if units else pd.DataFrame({"source": [], "block": [], "copy": []})
     if not len(table):
-        return table.assign(shard=[])
-    shards = int(max(1, min(round(plan.quota.sum() / shard_tokens), len(table) // 16)))
+        return table.assign(shard=[]), 0
+    wanted = max(1, round(plan.quota.sum() / shard_tokens))
+    shards = int(max(1, min(wanted, len(table) // LEAF)))
+    more = max(0, int(wanted - 1) // shards).bit_length()
     table = table.iloc[rng.permutation(len(table))].sort_values("source", kind="stable", ignore_index=True)
     names, counts = np.unique(table.source, return_counts=True)
     quota = split_tree(counts.astype(np.int64), shards, rng)
     table["shard"] = np.concatenate([np.repeat(np.arange(shards), quota[:, i]) for i in range(len(names))])
-    return table
+    return table, more
 
 
 def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, total: int | None = None, shard_tokens: int = 1 << 22, seed: int = 7) -> DataFrame:
@@ -140,12 +147,20 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, total: int | N
     blocks = sub_blocks(table, spans, 63 - BLOCKS_BITS)
     plan = plan_quota(blocks, goal, total)
     cut = cut_keys(table, blocks, plan)
-    dealt = deal(blocks, plan, cut, shard_tokens, seed)
+    dealt, more = deal(blocks, plan, cut, shard_tokens, seed)
     ends = pd.DataFrame([(r.source, int(r.full), cut[r.source]) for r in plan.itertuples()], columns=["source", "full", "cut"])
     dealt = F.broadcast(spark.createDataFrame(dealt.merge(ends, on="source", how="left"), "source string, block long, copy int, shard int, full int, cut long"))
     rows = table.withColumn("block", F.shiftrightunsigned("key", 63 - BLOCKS_BITS)).join(dealt, ["source", "block"])
     rows = rows.where((F.col("copy") < F.col("full")) | (F.col("key") <= F.col("cut")))
-    return rows.select("shard", F.xxhash64(F.lit(seed + 1), "doc_id", "copy").alias("order_key"), "doc_id", "copy", "source", "tokens")
+    shard = F.col("shard")
+    if more:  # the sub-blocks of a block, in a keyed permutation: an odd factor and a shift
+        mask = (1 << (more + LEAF_BITS)) - 1
+        sub = F.shiftrightunsigned("key", max(0, 63 - BLOCKS_BITS - more - LEAF_BITS)).bitwiseAND(mask)
+        unit = F.xxhash64(F.lit(seed + 2), "source", "block", "copy")
+        turned = (sub * unit.bitwiseAND(mask).bitwiseOR(1) + F.shiftrightunsigned(unit, 32)).bitwiseAND(mask)
+        shard = F.shiftleft(shard.cast("long"), more) + F.shiftright(turned, LEAF_BITS)
+    rows = rows.select(shard.cast("long").alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "copy").alias("order_key"), "doc_id", "copy", "source", "tokens")
+    return rows.repartition("shard").sortWithinPartitions("shard", "order_key")
 
 
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
