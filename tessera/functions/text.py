@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "had", "have", "not", "but", "its", "their", "which", "than", "been", "will", "can", "all", "one", "two")
 POSITIVE = ("better", "calmer", "even", "lower", "fewer", "careful", "steady", "shared")
 NEGATIVE = ("failed", "doubt", "backlog", "gap", "rough", "late", "waste", "rise")
-GENERIC_TITLES = (r"^untitled", r"^page( \d+)?$", r"^home$", r"^index$", r"^document( \d+)?$", r"^no title$")
+GENERIC_TITLES = (r"^untitled\s*$", r"^no\s+title\s*$", r"^home\s*[|\-–]", r"^\s*$", r"^document\s*$", r"^page\s+\d+\s*$")
+GENERIC_QUESTIONS = (
+    r"^what\s+is\s+this\s+(article|document|page|text|post)\s+about",
+    r"^what\s+does\s+this\s+(article|document|page|text|post)\s+(say|discuss|cover|contain|describe)",
+    r"^(can\s+you\s+)?summarize\s+this",
+    r"^tell\s+me\s+about\s+this",
+    r"^what\s+are\s+the\s+(main\s+)?(topics?|points?|themes?|subjects?)\s+(in|of|covered)",
+    r"^what\s+information\s+is\s+(provided|given|contained)",
+)
 BOILERPLATE = (
     r"accept all", r"reject optional", r"cookies", r"enable javascript", r"access denied", r"page not found", r"subscribe to", r"sign in", r"privacy choices", r"terms of use", r"all rights reserved", r"too many requests",
 )
@@ -115,7 +123,7 @@ def enrich_flags(summary: Column, body: Column, questions: Column) -> Column:
         F.when(n < 2, "few_questions"),
         F.when(n > 20, "many_questions"),
         F.when(F.exists(questions, lambda q: F.length(q) < 15), "short_question"),
-        F.when(F.exists(questions, lambda q: F.lower(q).rlike(r"^(what is this|who is the author|what is the main)")), "generic_question"),
+        F.when(F.exists(questions, lambda q: F.lower(q).rlike("|".join(GENERIC_QUESTIONS))), "generic_question"),
         F.when(F.size(F.array_distinct(F.transform(questions, lambda q: F.lower(q)))) < n, "duplicate_question"),
     )
     return F.filter(flags, lambda x: x.isNotNull())

@@ -18,10 +18,11 @@ def windows(docs: DataFrame, whole: int = 3000, size: int = 1200, step: int = 10
     words = docs.where(F.col(text).isNotNull()).select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.col(text).alias("_t"), words_of(F.col(text)).alias("_w"))
     words = words.withColumn("_n", F.size("_w")).where("_n > 0")
     count = F.when(F.col("_n") < whole, F.lit(1)).otherwise(F.ceil(F.col("_n") / step).cast("int"))
-    each = words.withColumn("_c", count).select("*", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("chunk_index"))
-    head = F.concat(F.col("title"), F.lit(" ("), F.col("chunk_index") + 1, F.lit("/"), F.col("_c"), F.lit(")\n"))
-    part = F.array_join(F.slice("_w", F.col("chunk_index") * step + 1, F.lit(size)), " ")
-    return each.select("doc_id", "chunk_index", F.when(F.col("_n") < whole, F.col("_t")).otherwise(F.concat(head, part)).alias("chunk"))
+    head = lambda i: F.concat(F.col("title"), F.lit(" ("), i + 1, F.lit("/"), F.col("_c"), F.lit(")\n"))
+    part = lambda i: F.concat(head(i), F.array_join(F.slice("_w", i * step + 1, F.lit(size)), " "))
+    # windows are cut inside the row, so that its words aren't copied for each of them
+    parts = F.when(F.col("_n") < whole, F.array("_t")).otherwise(F.transform(F.sequence(F.lit(0), F.col("_c") - 1), part))
+    return words.withColumn("_c", count).select("doc_id", F.posexplode(parts).alias("chunk_index", "chunk"))
 
 
 def frequent_terms(docs: DataFrame, most: int, least_length: int = 3) -> DataFrame:

@@ -41,9 +41,9 @@ def with_features(fused: DataFrame, base: float, features: list[tuple[DataFrame,
     return top(out.select("doc_id", F.round(total, 9).alias("score")), limit)
 
 
-def rerank(pool: DataFrame, vectors: DataFrame, score, limit: int) -> DataFrame:
-    """The pool by another score of its vectors; documents without one come last with -1."""
-    return top(pool.select("doc_id").join(vectors, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("vector").isNotNull(), score), F.lit(-1.0)).alias("score")), limit)
+def rerank(pool: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+    """The pool by another score (doc_id, score); documents without one come last with -1."""
+    return top(pool.select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(-1.0)).alias("score")), limit)
 
 
 def mmr(candidates: list[tuple[int, float]], vectors: dict[int, list[float]], limit: int, lam: float = 0.7) -> list[tuple[int, float]]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +34,15 @@ def intersect(edges: DataFrame, pinned: list[int], least: int | None = None, lim
     return g.where(F.col("overlap") >= (least or len(pinned))).orderBy(F.desc("overlap"), F.desc_nulls_last("avg_weight"), "dst").limit(limit)
 
 
-def bridge(edges: DataFrame, source: int, target: int, most: int = 5) -> DataFrame:
-    """dst, hop, parent of the breadth-first levels up to the target (at most eight), directed edges taken both ways.
+def bridge(edges: DataFrame, source: int, target: int, most: int = 5, directed: bool = False) -> DataFrame:
+    """dst, hop, parent of the breadth-first levels up to the target (at most eight); edges are walked both ways unless ``directed``.
 
-    Each level is a join of the frontier (new documents only) with the edges; a new document keeps its heaviest parent.
+    The walkable pairs are stored once. Each level is a join of the frontier (new documents only) with them; a new
+    document keeps its heaviest parent, of equal ones the smallest.
     """
     spark = edges.sparkSession
-    walk = both_ways(edges).groupBy("src", "dst").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    e = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "weight") if directed else both_ways(edges)
+    walk = stored(e.groupBy("src", "dst").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight")), "bridge-walk")
     seen = spark.createDataFrame([(source, 0, None)], "dst long, hop int, parent long")
     frontier = seen
     for hop in range(1, min(most, 8) + 1):
@@ -44,11 +50,32 @@ def bridge(edges: DataFrame, source: int, target: int, most: int = 5) -> DataFra
         frontier = step.groupBy("dst").agg(F.max_by("src", F.struct("weight", (-F.col("src")).alias("m"))).alias("parent")).select("dst", F.lit(hop).alias("hop"), "parent")
         frontier = stored(frontier, "bridge")
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty() or not frontier.where(F.col("dst") == target).isEmpty():
+        there = frontier.agg(F.count("*").alias("n"), F.max(F.col("dst") == target).alias("met")).first()
+        if not there.n or there.met:
             break
     return seen
 
 
+def paths(levels: DataFrame, target: int, most: int = 8) -> DataFrame:
+    """step, doc_id of the way to the target along the parents; empty if the target wasn't met. One row a level."""
+    at = levels.where(F.col("dst") == target)
+    out = [at]
+    for _ in range(most):
+        at = levels.join(F.broadcast(at.select(F.col("parent").alias("dst"))), "dst")  # one row
+        out.append(at)
+    return reduce(DataFrame.union, [x.select("dst", "hop", "parent") for x in out]).select(F.col("hop").alias("step"), F.col("dst").alias("doc_id"))
+
+
+def best_of_both(edges: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """Edges (a, b, weight) among the ``most`` heaviest of either end. Two separate limits, each of which runs before its shuffle (a hub costs no task its whole degree)."""
+
+    def best(one: str, other: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(one).orderBy(F.desc("weight"), other))
+        return edges.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+    return best(a, b).join(best(b, a).select(a, b), [a, b], "left_semi").select(a, b, "weight")
+
+
 def keyword_edges(docs: DataFrame, least: float = 0.05, per_side: int = 20, most_df: int = 500) -> DataFrame:
     """Token-Jaccard edges over keywords, entities and topics.
 
@@ -62,18 +89,50 @@ def keyword_edges(docs: DataFrame, least: float = 0.05, per_side: int = 20, most
     pairs = kept.select("term", F.col("doc_id").alias("a")).join(kept.select("term", F.col("doc_id").alias("b")), "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     wide = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
     scored = wide.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("weight")).where(F.col("weight") >= least)
-    ra = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
-    rb = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("weight"), "a"))
-    return scored.withColumn("ra", ra).withColumn("rb", rb).where((F.col("ra") <= per_side) & (F.col("rb") <= per_side)).select("a", "b", "weight")
+    return best_of_both(stored(scored, "edges"), "a", "b", per_side)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.5, block: int = 2048) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.5, block: int = 2048, most: int = 16_384) -> DataFrame:
     """Exact nearest neighbours of a stated query set among all vectors: src, dst, cosine.
 
-    Both sides are cut into blocks of about ``block`` rows, and each pair of blocks is one task of a dense product, so
-    a task's memory is two blocks whatever the tables' sizes. Each task keeps the k best of its queries; a second
-    top-k merges them.
+    Up to ``most`` queries (counted: 8 MB at 64 dimensions) are sent to the scan of the vectors, which don't move: each
+    task keeps the k best of every query, and a second top-k merges the tasks'. More queries go in blocks.
     """
+    r = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("cosine", 9)), "dst"))
+    if queries.limit(most + 1).count() <= most:
+        near = _scanned(queries, vectors, k, least)
+    else:
+        near = _blocks(queries, vectors, k, least, block)
+    return near.withColumn("r", r).where(F.col("r") <= k).drop("r")
+
+
+def _scanned(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
+    rows = queries.select("doc_id", "vector").collect()
+    shared = queries.sparkSession.sparkContext.broadcast((np.array([x.doc_id for x in rows], dtype=np.int64), _unit(np.array([x.vector for x in rows], dtype=float))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches if len(ids) else ():
+            if batch.num_rows:
+                own = batch.column(0).to_numpy()
+                s = q @ _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)).T
+                s[ids[:, None] == own[None, :]] = -2
+                best, best_id = np.hstack([best, s]), np.hstack([best_id, np.broadcast_to(own, s.shape)])
+                order = np.lexsort((best_id, -np.round(best, 9)))[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+        keep = best >= least
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(best_id[keep]), pa.array(best[keep])], names=["src", "dst", "cosine"])
+
+    return vectors.select(F.col("doc_id").cast("long"), "vector").mapInArrow(run, "src long, dst long, cosine double")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300) if m.size else m
+
+
+def _blocks(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int) -> DataFrame:
+    """Both sides in blocks of about ``block`` rows; each pair of blocks is one task of a dense product, whatever the sizes."""
 
     def blocks(side: DataFrame, i: str, rows: str) -> tuple[DataFrame, int]:
         n = max(1, -(-side.count() // block))
@@ -89,17 +148,14 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.5,
             for x, y in zip(p.x, p.y):
                 a, b = (np.array([r["vector"] for r in z], dtype=float) for z in (x, y))
                 ia, ib = (np.array([r["doc_id"] for r in z]) for z in (x, y))
-                na, nb = (np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (a, b))
-                s = (a / na) @ (b / nb).T
+                s = _unit(a) @ _unit(b).T
                 s[ia[:, None] == ib[None, :]] = -2
                 for row, d in zip(s, ia):
                     best = np.lexsort((ib, -np.round(row, 9)))[:k]
                     out += [(int(d), int(ib[c]), float(row[c])) for c in best if row[c] >= least]
             yield pd.DataFrame(out, columns=["src", "dst", "cosine"])
 
-    near = tasks.select("x", "y").mapInPandas(run, "src long, dst long, cosine double")
-    r = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("cosine", 9)), "dst"))
-    return near.withColumn("r", r).where(F.col("r") <= k).drop("r")
+    return tasks.select("x", "y").mapInPandas(run, "src long, dst long, cosine double")
 
 
 def vector_edges(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:

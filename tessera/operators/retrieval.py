@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import tokens
+from tessera.sources.shared import stored
 
 K1, B = 1.2, 0.75
 
@@ -28,36 +36,73 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-def postings(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
-    """doc_id, dl, term, tf of the query's terms only: occurrences are filtered inside the row, before they are spread."""
-    t = docs.select("doc_id", tokens(text).alias("t"))
-    occ = t.select("doc_id", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(*terms))).alias("term"))
-    return occ.groupBy("doc_id", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+@dataclass
+class Index:
+    """Postings (b, term, doc_id, tf, dl) in buckets of terms, and the collection's size and mean length."""
+
+    postings: DataFrame
+    buckets: int
+    n: int
+    avgdl: float
+
+    def rows(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: only their buckets are read, and in these only the row groups that can hold them."""
+        buckets = [F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in terms]
+        return self.postings.where(F.col("b").isin(*buckets) & F.col("term").isin(*terms)).select("term", "doc_id", "tf", "dl")
+
+
+def build_index(docs: DataFrame, text: Column) -> Index:
+    """One pass over the texts: terms with their frequencies, and one row without a term for each document.
+
+    Buckets are balanced by a rebalance that splits what is too large, so a term in all documents is spread.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.select("doc_id", F.coalesce(tokens(text), F.array().cast("array<string>")).alias("t"))
+    each = words.select("doc_id", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("term"))
+    b = F.pmod(F.when(F.col("term").isNull(), F.hash("doc_id")).otherwise(F.hash("term")), F.lit(n))
+    rows = each.groupBy("term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("b", b)
+    postings = stored(rows.hint("rebalance", "b").sortWithinPartitions("b", "term"), "index", "b")
+    size = postings.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return Index(postings, n, size.n, size.avgdl or 0.0)
+
+
+_BUILT: dict[tuple, Index] = {}
 
 
-def bm25(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
-    """doc_id, score, matched: BM25 over the query's terms. Collection statistics are one row; frequencies a row per term."""
-    found = postings(docs, text, terms)
-    stats = docs.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl")).otherwise(0)).alias("avgdl"))
+def index_of(spark: SparkSession, path: str, name: str, docs: Callable[[], DataFrame], text: Column) -> Index:
+    """The index of a table's field, built when it is first asked for and again when the table's files change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}*"))
+    state = tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files or ())
+    key = (spark.sparkContext.applicationId, path, name, state)
+    if key not in _BUILT:
+        _BUILT[key] = build_index(docs(), text)
+    return _BUILT[key]
+
+
+def bm25(index: Index, terms: list[str], long: list[str]) -> DataFrame:
+    """doc_id, score, matched over the terms; the same over the long ones. Frequencies are a row per query term."""
+    found = index.rows(terms)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    wide = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return wide.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"))
+    idf = F.log1p((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (index.avgdl or 1.0)))
+    is_long = F.col("term").isin(*long)
+    return found.join(F.broadcast(df), "term").groupBy("doc_id").agg(
+        F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"), F.round(F.sum(F.when(is_long, part)), 9).alias("long_score"), F.count_if(is_long).alias("long_matched")
+    )
 
 
-def fts(docs: DataFrame, text: Column, query: str, limit: int) -> DataFrame:
+def fts(index: Index, query: str, limit: int) -> DataFrame:
     """Documents with all terms; if there are fewer than three, those with any term of four letters or more come after them."""
     terms = query_terms(query)
-    scored = bm25(docs, text, terms)
-    every = top(scored.where(F.col("matched") == len(terms)).select("doc_id", "score"), limit).withColumn("tier", F.lit(0))
     long = [t for t in terms if len(t) > 3]
-    if not long:
+    scored = bm25(index, terms, long)
+    whole = F.col("matched") == len(terms)
+    every = top(scored.where(whole).select("doc_id", "score"), limit).withColumn("tier", F.lit(0))
+    if not long or scored.where(whole).limit(3).count() == 3:
         return every
-    some = bm25(docs, text, long).select("doc_id", "score").join(every.select("doc_id"), "doc_id", "left_anti")
-    n = every.agg(F.count("*").alias("n_all"))
-    some = top(some, limit).crossJoin(F.broadcast(n)).where("n_all < 3").select("doc_id", "score", F.lit(1).alias("tier"))  # one row
-    return every.unionByName(some)
+    some = top(scored.where(~whole & (F.col("long_matched") > 0)).select("doc_id", F.col("long_score").alias("score")), limit)
+    return every.unionByName(some.withColumn("tier", F.lit(1)))
 
 
 def fts_like(docs: DataFrame, query: str, limit: int) -> DataFrame:
@@ -77,10 +122,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
+def similar(rows: DataFrame, query: list[float], *keep: str) -> DataFrame:
+    """The ``keep`` columns and ``score``: the cosine of ``vector`` to one query vector, a product a batch.
+
+    A null vector or one of another length has no score; a norm of 0 gives 0.
+    """
+    q = np.array(query, dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(len(keep))
+            fits = pc.fill_null(pc.equal(pc.list_value_length(own), len(q)), False)
+            m = own.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            norm = np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum())
+            score = np.full(batch.num_rows, np.nan)
+            score[np.asarray(fits)] = np.divide((m * q).sum(1), norm, out=np.zeros(len(m)), where=norm > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.round(score, 9), from_pandas=True)], names=[*keep, "score"])
+
+    schema = T.StructType([*[rows.schema[k] for k in keep], T.StructField("score", T.DoubleType())])
+    return rows.select(*keep, "vector").mapInArrow(run, schema)
+
+
 def vec(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
-    """Nearest vectors to one query vector, which is a literal: no join, one map and a top-k."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return top(vectors.select("doc_id", F.round(cosine(F.col("vector"), q), 9).alias("score")), limit)
+    """Nearest vectors to one query vector: no join, one map and a top-k."""
+    return top(similar(vectors, query, "doc_id"), limit)
 
 
 def best_per_doc(rows: DataFrame, limit: int) -> DataFrame:
@@ -90,7 +155,7 @@ def best_per_doc(rows: DataFrame, limit: int) -> DataFrame:
 
 def parts_vec(parts: DataFrame, query: list[float], cut: int, limit: int, allowed: DataFrame | None = None) -> DataFrame:
     """Nearest parts (questions or chunks: doc_id, vector) cut at ``cut`` rows, then documents by their best part."""
-    near = top(parts.select("doc_id", F.round(cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])), 9).alias("score")), cut)
+    near = top(similar(parts, query, "doc_id"), cut)
     best = near.groupBy("doc_id").agg(F.max("score").alias("score"))
     return top(best if allowed is None else best.join(allowed, "doc_id", "left_semi"), limit)
 

@@ -19,9 +19,13 @@ def normalize_url(spark, sf):
     return corpus(spark, sf).where("url is not null").select("doc_id", X.normalize_url(F.col("url")).alias("url_norm"))
 
 
-@R.add("doc_uuid")
+@R.add(
+    "doc_uuid",
+    f"""select doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[((strpos('0123456789abcdef', h[17]) - 1) & 3) + 1] || h[18:20] || '-' || h[21:32] as uuid
+    from (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({_URL})) as h from documents where url is not null)""",
+)
 def doc_uuid(spark, sf):
-    """Deterministic ids; checked against uuid5 in the tests."""
+    """Deterministic ids; checked against uuid5 in the tests too."""
     return corpus(spark, sf).where("url is not null").select("doc_id", X.doc_uuid(X.normalize_url(F.col("url"))).alias("uuid"))
 
 
@@ -30,11 +34,16 @@ def url_host(spark, sf):
     return corpus(spark, sf).where("url is not null").select("doc_id", X.url_host(F.col("url")).alias("host"))
 
 
-@R.add("extract_links", r"select doc_id, len(list_distinct(regexp_extract_all(text, 'https?://[^\s<>)\]]+'))) as links from documents where text is not null")
+@R.add(
+    "extract_links",
+    r"""with l as (select distinct doc_id, regexp_extract(lower(trim(url)), '^[a-z]+://([^/?#:]+)', 1) as own, regexp_replace(unnest(regexp_extract_all(text, 'https?://[^\s<>)\]]+')), '#.*$', '') as link from documents where text is not null)
+    select distinct doc_id, link, coalesce(regexp_extract(lower(link), '^[a-z]+://([^/?#:]+)', 1) = own, false) as same_host from l""",
+)
 def extract_links(spark, sf):
-    """Absolute links of a text without repeats."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"https?://[^\s<>)\]]+"), F.lit(0)))
-    return corpus(spark, sf).where("text is not null").select("doc_id", F.size(found).alias("links"))
+    """Absolute links of a text without fragments and repeats, and whether they stay on the document's host."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"https?://[^\s<>)\]]+"), F.lit(0)), lambda x: F.regexp_replace(x, "#.*$", "")))
+    rows = corpus(spark, sf).where("text is not null").select("doc_id", X.url_host(F.col("url")).alias("own"), F.explode(found).alias("link"))
+    return rows.select("doc_id", "link", F.coalesce(X.url_host(F.col("link")) == F.col("own"), F.lit(False)).alias("same_host"))
 
 
 @R.add("title_or_first_line", r"select doc_id, left(coalesce(nullif(trim(title), ''), trim(string_split(coalesce(text, ''), chr(10))[1])), 120) as title120 from documents")
@@ -47,11 +56,14 @@ def title_or_first_line(spark, sf):
 _PAY = "case when t like '%javascript%' and length(t) < 400 then 'metered' when t like '%subscribe to%' or t like '%sign in again%' then 'soft' when length(trim(t)) < 200 then 'hard' else 'none' end"
 
 
+def _paywall():
+    t = F.lower(F.coalesce("text", F.lit("")))
+    return F.when(t.contains("javascript") & (F.length(t) < 400), "metered").when(t.contains("subscribe to") | t.contains("sign in again"), "soft").when(F.length(F.trim(t)) < 200, "hard").otherwise("none")
+
+
 @R.add("paywall_web", f"select doc_id, {_PAY} as paywall from (select doc_id, lower(coalesce(text, '')) as t from documents)")
 def paywall_web(spark, sf):
-    t = F.lower(F.coalesce("text", F.lit("")))
-    kind = F.when(t.contains("javascript") & (F.length(t) < 400), "metered").when(t.contains("subscribe to") | t.contains("sign in again"), "soft").when(F.length(F.trim(t)) < 200, "hard").otherwise("none")
-    return corpus(spark, sf).select("doc_id", kind.alias("paywall"))
+    return corpus(spark, sf).select("doc_id", _paywall().alias("paywall"))
 
 
 @R.add(
@@ -71,8 +83,7 @@ def paywall_rss(spark, sf):
     from (select doc_id, {_PAY} as paywall, length(regexp_replace(b, '^\\s+|\\s+$', '', 'g')) as n from (select doc_id, lower(coalesce(text, '')) as t, coalesce(body_text, '') as b from documents))""",
 )
 def paywall_class(spark, sf):
-    docs = corpus(spark, sf).select("doc_id", "body_text").join(paywall_web(spark, sf), "doc_id")
-    return docs.select("doc_id", X.paywall_class(F.col("paywall"), F.col("body_text")).alias("class"))
+    return corpus(spark, sf).select("doc_id", X.paywall_class(_paywall(), F.col("body_text")).alias("class"))
 
 
 @R.add(
@@ -100,9 +111,9 @@ def content_gate(spark, sf):
     return corpus(spark, sf).select("doc_id", X.content_gate(F.col("body_text"), F.col("title")).alias("gate"))
 
 
-_FLAGS = """list_filter([case when length(s) < 50 then 'summary_short' end, case when length(s) > 5000 then 'summary_long' end, case when length(s) >= 150 and starts_with(coalesce(body_text, ''), left(s, 150)) then 'body_bleed' end,
+_FLAGS = f"""list_filter([case when length(s) < 50 then 'summary_short' end, case when length(s) > 5000 then 'summary_long' end, case when length(s) >= 150 and starts_with(coalesce(body_text, ''), left(s, 150)) then 'body_bleed' end,
     case when len(q) < 2 then 'few_questions' end, case when len(q) > 20 then 'many_questions' end, case when len(list_filter(q, lambda x: length(x) < 15)) > 0 then 'short_question' end,
-    case when len(list_filter(q, lambda x: regexp_matches(lower(x), '^(what is this|who is the author|what is the main)'))) > 0 then 'generic_question' end,
+    case when len(list_filter(q, lambda x: regexp_matches(lower(x), '{"|".join(X.GENERIC_QUESTIONS)}'))) > 0 then 'generic_question' end,
     case when len(list_distinct(list_transform(q, lambda x: lower(x)))) < len(q) then 'duplicate_question' end], lambda x: x is not null)"""
 
 
@@ -126,13 +137,13 @@ def quality_score(spark, sf):
     return corpus(spark, sf).select("doc_id", X.quality_score(F.col("body_text"), F.col("keywords"), F.col("entities"), F.col("answers_questions"), F.col("summary")).cast("int").alias("score"))
 
 
-_CHUNK_SQL = f"""with w as (select doc_id, coalesce(title, '') as title, text as b, {_WORDS} as w from (select doc_id, title, text, text as b from documents where text is not null)),
+CHUNK_SQL = f"""with w as (select doc_id, coalesce(title, '') as title, text as b, {_WORDS} as w from (select doc_id, title, text, text as b from documents where text is not null)),
     k as (select *, len(w) as n from w where len(w) > 0),
     c as (select doc_id, title, b, w, n, unnest(range(case when n < 300 then 1 else cast(ceil(n / 100.0) as int) end)) as chunk_index, case when n < 300 then 1 else cast(ceil(n / 100.0) as int) end as chunks from k)
     select doc_id, cast(chunk_index as int) as chunk_index, case when chunks = 1 and n < 300 then b else title || ' (' || (chunk_index + 1) || '/' || chunks || ')' || chr(10) || array_to_string(w[chunk_index * 100 + 1 : chunk_index * 100 + 120], ' ') end as chunk from c"""
 
 
-@R.add("chunk_windows", _CHUNK_SQL)
+@R.add("chunk_windows", CHUNK_SQL)
 def chunk_windows(spark, sf):
     """D12, at a tenth of the default sizes so that the corpus has documents of several windows."""
     return C.windows(corpus(spark, sf), whole=300, size=120, step=100)
@@ -148,9 +159,10 @@ def embed_text(spark, sf):
     return corpus(spark, sf).select("doc_id", F.concat_ws("\n", *parts).alias("embed_text"))
 
 
-@R.add("tokenize", r"select doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(title), '[\s\-_/.,]+'), lambda x: length(x) > 2))) as terms from documents where title is not null")
+@R.add("tokenize", r"select distinct doc_id, unnest(list_filter(regexp_split_to_array(lower(title), '[\s\-_/.,]+'), lambda x: length(x) > 2)) as term from documents where title is not null")
 def tokenize(spark, sf):
-    return corpus(spark, sf).where("title is not null").select("doc_id", F.size(X.term_set(F.col("title"))).alias("terms"))
+    """The distinct terms of each title."""
+    return corpus(spark, sf).where("title is not null").select("doc_id", F.explode(X.term_set(F.col("title"))).alias("term"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)

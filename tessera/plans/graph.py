@@ -54,6 +54,31 @@ def bridge(spark, sf):
     return G.bridge(edges(spark, sf), HUB, FAR).select("dst", "hop")
 
 
+@R.add(
+    "bridge_directed",
+    f"""with recursive b as (select source_id as src, target_id as dst, max(coalesce(weight, 0)) as weight from document_edges group by all), w as (select cast({HUB} as bigint) as dst, 0 as hop union select b.dst, w.hop + 1 from w join b on b.src = w.dst where w.hop < 5),
+    f as (select dst, min(hop) as hop from w group by dst), g as (select * from f where hop <= coalesce((select hop from f where dst = {FAR}), 5))
+    select g.dst, g.hop, (select arg_max(b.src, struct_pack(w := b.weight, m := -b.src)) from b join g p on p.dst = b.src where b.dst = g.dst and p.hop = g.hop - 1) as parent from g""",
+)
+def bridge_directed(spark, sf):
+    """G03 along the edges' direction, with the heaviest parent of each document."""
+    return G.bridge(edges(spark, sf), HUB, FAR, directed=True)
+
+
+_WALK = f"b as (select src, dst, max(coalesce(weight, 0)) as weight from {_BOTH} group by all)"
+
+
+@R.add(
+    "bridge_path",
+    f"""with recursive {_WALK}, w as (select cast({HUB} as bigint) as dst, 0 as hop union select b.dst, w.hop + 1 from w join b on b.src = w.dst where w.hop < 5), f as (select dst, min(hop) as hop from w group by dst),
+    g as (select f.dst, f.hop, (select arg_max(b.src, struct_pack(w := b.weight, m := -b.src)) from b join f p on p.dst = b.src where b.dst = f.dst and p.hop = f.hop - 1) as parent from f),
+    r as (select hop, dst, parent from g where dst = {FAR} union all select g.hop, g.dst, g.parent from r join g on g.dst = r.parent) select hop as step, dst as doc_id from r""",
+)
+def bridge_path(spark, sf):
+    """The documents on the way from one to the other."""
+    return G.paths(G.bridge(edges(spark, sf), HUB, FAR), FAR)
+
+
 _TERMS = "(select distinct doc_id, lower(t) as term from (select doc_id, unnest(list_concat(list_concat(keywords, entities), topics)) as t from documents) where length(t) >= 3)"
 _KW = f"""with t as {_TERMS}, u as (select term from t group by term having count(*) between 2 and 500), k as (select t.* from t join u using (term)), n as (select doc_id, count(*) as n from k group by 1),
     p as (select a.doc_id as a, b.doc_id as b, count(*) as both_n from k a join k b on a.term = b.term and a.doc_id < b.doc_id group by 1, 2),

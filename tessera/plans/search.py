@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.query import diverse
-from tessera.functions.text import tokens
+from tessera.functions.query import NO_ENTITY, diverse, entity_terms
 from tessera.operators import fusion as U
 from tessera.operators import retrieval as V
 from tessera.plans.registry import Registry
@@ -55,8 +54,12 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 # Signals
 
 
+def text_index(spark, sf):
+    return V.index_of(spark, f"{sf}/documents.parquet", "text", lambda: ready(spark, sf), F.col("text"))
+
+
 def fts(spark, sf, query=QUERY, limit=LIMIT):
-    return V.fts(ready(spark, sf), F.col("text"), query, limit)
+    return V.fts(text_index(spark, sf), query, limit)
 
 
 def vec(spark, sf, limit=LIMIT):
@@ -72,7 +75,8 @@ def chunk_vec(spark, sf, limit=LIMIT):
 
 
 def aq_fts(spark, sf, query=QUERY, limit=LIMIT):
-    return V.fts(ready(spark, sf), F.array_join("answers_questions", " "), query, limit)
+    index = V.index_of(spark, f"{sf}/documents.parquet", "questions", lambda: ready(spark, sf), F.array_join("answers_questions", " "))
+    return V.fts(index, query, limit)
 
 
 def entity_signal(spark, sf, limit=LIMIT):
@@ -211,8 +215,7 @@ def mrl_truncate(spark, sf):
 @R.add("best_chunk", f"select r.doc_id, arg_max(q, struct_pack(s := {_COS}, q := -q)) as chunk_index, round(max({_COS}), 6) as score from (select doc_id, unnest([0, 1, 2]) as q from documents) r join embeddings on vec_id = (r.doc_id * 3 + q) % (select count(*) from embeddings) group by r.doc_id")
 def best_chunk(spark, sf):
     """The best chunk of each document."""
-    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
-    rows = part_vectors(spark, sf, chunk_rows(spark, sf), 3).select("doc_id", "q", F.round(V.cosine(F.col("vector"), q), 9).alias("s"))
+    rows = V.similar(part_vectors(spark, sf, chunk_rows(spark, sf), 3), query_vector(spark, sf), "doc_id", "q").withColumnRenamed("score", "s")
     return rows.groupBy("doc_id").agg(F.max(F.struct("s", (-F.col("q")).alias("m"))).alias("b")).select("doc_id", (-F.col("b.m")).alias("chunk_index"), F.round("b.s", 6).alias("score"))
 
 
@@ -385,8 +388,9 @@ def rank_mmr(spark, sf):
 
 
 def _rerank_pool(spark, sf, pool):
-    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
-    return U.rerank(rrf2(spark, sf, pool), vectors(spark, sf), F.round(V.cosine(F.col("vector"), q), 9), pool)
+    hits = rrf2(spark, sf, pool)
+    near = V.similar(vectors(spark, sf).join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi"), query_vector(spark, sf), "doc_id")
+    return U.rerank(hits, near, pool)
 
 
 _POOL = max(4 * LIMIT, 40)
@@ -477,9 +481,8 @@ def chunk_rerank(spark, sf):
     """Q02: the pool by the greater of its score and 0.8 x its best chunk's."""
     pool = U.rrf(four(spark, sf), LIMIT)
     n = pool.select("doc_id", (F.col("score") / F.max("score").over(Window.partitionBy())).alias("s"))
-    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
     rows = chunk_rows(spark, sf).join(F.broadcast(pool.select("doc_id")), "doc_id", "left_semi")
-    b = part_vectors(spark, sf, rows, 3).groupBy("doc_id").agg(F.max(F.round(V.cosine(F.col("vector"), q), 9)).alias("c"))
+    b = V.similar(part_vectors(spark, sf, rows, 3), query_vector(spark, sf), "doc_id").groupBy("doc_id").agg(F.max("score").alias("c"))
     return V.top(n.join(b, "doc_id", "left").select("doc_id", F.round(F.greatest("s", 0.8 * F.coalesce("c", F.lit(0.0))), 6).alias("score")), 10)
 
 
@@ -504,13 +507,22 @@ def gap_signal(spark, sf):
     return one.select(((F.col("n") == 0) | ((F.col("best") < need) & (F.col("spread") < 0.15) & (topics < len(_WORDS4) / 2))).alias("gap"))
 
 
-@R.add("confidence", None)
+_WORDS3 = [w for w in V.query_terms(QUERY) if len(w) > 3]
+
+
+@R.add(
+    "confidence",
+    f"""with {', '.join(_FOUR)}, h as ({rrf_sql(['f', 'v', 'a', 'c'])}), g as (select id, count(*) as degree from (select source_id as id from document_edges union all select target_id from document_edges) group by 1),
+    d as (select score, lower(array_to_string(answers_questions, ' ')) as aq, topics, coalesce(degree, 0) as degree from h join documents using (doc_id) left join g on g.id = h.doc_id),
+    o as (select list(score order by score desc) as s, max({" + ".join(f"contains(aq, '{w}')::int" for w in _WORDS3)}) / {len(_WORDS3)} as cover, least(avg(degree) / 50, 1.0) as density, len(list_distinct(flatten(list(topics)))) as spread from d),
+    p as (select *, case when len(s) > 1 then (s[1] - s[2]) / s[1] else 1.0 end as gap from o)
+    select round(gap, 6) as score_gap, round(cover, 6) as aq_coverage, round(density, 6) as edge_density, cast(spread as int) as topic_spread, case when gap > 0.3 and cover > 0.5 then 'answer' when spread > 5 then 'decompose' when density > 0.3 then 'expand' else 'search_again' end as action from p""",
+)
 def confidence(spark, sf):
     """Q06: score gap, question coverage, edge density and topic spread of the hits, and the action they suggest."""
     hits = U.rrf(four(spark, sf), LIMIT)
     d = corpus(spark, sf).select("doc_id", F.lower(F.array_join("answers_questions", " ")).alias("aq"), "topics").join(F.broadcast(hits), "doc_id").join(degrees(spark, sf).withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    words = [w for w in V.query_terms(QUERY) if len(w) > 3]
-    cover = reduce(lambda a, b: a + b, [F.col("aq").contains(w).cast("int") for w in words]) / len(words)
+    cover = reduce(lambda a, b: a + b, [F.col("aq").contains(w).cast("int") for w in _WORDS3]) / len(_WORDS3)
     top2 = F.sort_array(F.collect_list("score"), False)  # at most the limit's rows
     one = d.agg(top2.alias("s"), F.max(cover).alias("aq_coverage"), F.least(F.avg(F.coalesce("degree", F.lit(0))) / 50, F.lit(1.0)).alias("edge_density"), F.size(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topic_spread"))
     gap = F.when(F.size("s") > 1, (F.get("s", F.lit(0)) - F.get("s", F.lit(1))) / F.get("s", F.lit(0))).otherwise(F.lit(1.0))
@@ -544,6 +556,20 @@ def query_expand_corpus(spark, sf):
     return best.agg(F.concat(F.lit(QUERY + " "), F.array_join(terms, " ")).alias("expanded"))
 
 
+_NO_ENTITY = ", ".join(f"'{w}'" for w in sorted(NO_ENTITY))
+
+
+@R.add(
+    "query_entities",
+    f"""with q as (select distinct question from query_log where question is not null), w as (select question, unnest(regexp_extract_all(question, '[A-Z]{{2,5}}|[A-Za-z0-9]+(?:''[a-zA-Z]+)?')) as w from q)
+    select lower(w) as term, count(distinct question) as questions from w where (regexp_matches(w, '^[A-Z0-9'']{{2,5}}$') and regexp_matches(w, '[A-Z]')) or (regexp_matches(w, '^[A-Z]..') and regexp_matches(w, '[a-z]')) or (length(w) >= 5 and lower(w) not in ({_NO_ENTITY})) group by 1""",
+)
+def query_entities(spark, sf):
+    """In how many questions of the log each term stands that may name something."""
+    q = table(spark, sf, "query_log").where("question is not null").select("question").distinct()
+    return q.select("question", F.explode(F.array_distinct(F.transform(entity_terms(F.col("question")), lambda w: F.lower(w)))).alias("term")).groupBy("term").agg(F.count("*").alias("questions"))
+
+
 @R.add("probe_match", "select topic, docs from (select topic, count(distinct doc_id) as docs from (select unnest(topics) as topic, doc_id from documents where status = 'ready') group by 1 having count(*) >= 5) where contains('who digs water archives and bees', topic) order by docs desc, topic limit 5")
 def probe_match(spark, sf):
     """Clusters whose label the context mentions."""
@@ -554,8 +580,7 @@ def probe_match(spark, sf):
 @R.add("index_terms", r"select term, count(*) as df, sum(tf) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from documents where status = 'ready') group by all) group by term")
 def index_terms(spark, sf):
     """The inverted index's vocabulary: document and collection frequencies of every term."""
-    occ = ready(spark, sf).select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return occ.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return text_index(spark, sf).postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @R.add("minmax_normalise", f"with h as (select id, elapsed_ms from query_log where elapsed_ms is not null order by elapsed_ms desc, id limit 200) select id, round((elapsed_ms - min(elapsed_ms) over ()) / (max(elapsed_ms) over () - min(elapsed_ms) over ()), 6) as norm from h")
@@ -572,9 +597,8 @@ _BEST = f"select r.doc_id, arg_max(q, struct_pack(s := {_COS}, q := -q)) as chun
 def chunk_augment(spark, sf):
     """Hits with their best chunk, in their own order; only the hits' chunks are scored."""
     hits = U.rrf(four(spark, sf), LIMIT)
-    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
     rows = chunk_rows(spark, sf).join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi")
-    scored = part_vectors(spark, sf, rows, 3).select("doc_id", "q", F.round(V.cosine(F.col("vector"), q), 9).alias("s"))
+    scored = V.similar(part_vectors(spark, sf, rows, 3), query_vector(spark, sf), "doc_id", "q").withColumnRenamed("score", "s")
     b = scored.groupBy("doc_id").agg(F.max(F.struct("s", (-F.col("q")).alias("m"))).alias("b"))
     return hits.join(b, "doc_id", "left").select("doc_id", F.round("score", 6).alias("score"), (-F.col("b.m")).alias("chunk_index"), F.round("b.s", 6).alias("chunk_score"))
 
@@ -602,7 +626,15 @@ def research_quick(spark, sf):
     return g.where("best >= 0.4").select("doc_id", F.round("best", 6).alias("relevance"), "answers")
 
 
-@R.add("research_deep", None)
+def _deep_sql(enough: int = 10) -> str:
+    parts = [fts_sql(f"f{i}", q) for i, q in enumerate(SUBQUERIES)]
+    rows = [f"p{i} as (select * from {norm_sql(f'f{i}')} where score >= 0.4)" for i in range(len(SUBQUERIES))]
+    so_far = lambda i: f"(select count(distinct doc_id) from ({' union all '.join(f'select doc_id from p{k}' for k in range(i))})) < {enough}"
+    used = " union all ".join(f"select * from p{i}" + (" where " + " and ".join(so_far(k) for k in range(1, i + 1)) if i else "") for i in range(len(SUBQUERIES)))
+    return f"with {', '.join(parts + rows)} select doc_id, round(max(score), 6) as score from ({used}) group by doc_id"
+
+
+@R.add("research_deep", _deep_sql())
 def research_deep(spark, sf, enough: int = 10, most_rounds: int = 3):
     """Q13 in rounds: the next part is searched until there are enough relevant documents. Only a count returns to the driver."""
     found = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.plans.docproc import CHUNK_SQL
 from tessera.plans.registry import Registry
 from tessera.sources.tables import HOUR_US
 from tessera.streaming import streams as S
@@ -13,12 +14,12 @@ R = Registry()
 
 @R.add("stream_tumbling", f"select epoch_us(ts) // {HOUR_US} * {HOUR_US} as start_us, event_type, count(*) as n from events group by all")
 def stream_tumbling(spark, sf):
-    return S.drained(S.tumbling(S.events(spark, sf)), "complete")
+    return S.drained(S.tumbling(S.events(spark, sf)), "update", keys=("start_us", "event_type"))
 
 
 @R.add("stream_sliding", f"select s * {HOUR_US // 2} as start_us, count(*) as n, count(*) filter (where event_type = 'error') as errors from (select event_type, unnest([epoch_us(ts) // {HOUR_US // 2}, epoch_us(ts) // {HOUR_US // 2} - 1]) as s from events) group by s")
 def stream_sliding(spark, sf):
-    return S.drained(S.sliding(S.events(spark, sf)), "complete")
+    return S.drained(S.sliding(S.events(spark, sf)), "update", keys=("start_us",))
 
 
 @R.add(
@@ -44,10 +45,10 @@ def claim_pending(spark, sf):
 def stream_latest_state(spark, sf):
     """The latest state of each source from its stream of records."""
     rows = S.stream(spark, sf, "documents").select("source", "status", F.unix_micros("ingested_at").alias("order_us"))
-    return S.drained(S.upserted(rows, "source", ["status"]), "complete")
+    return S.drained(S.upserted(rows, "source", ["status"]), "update", keys=("source",))
 
 
-@R.add("chunk_worker", None)
+@R.add("chunk_worker", f"select * from ({CHUNK_SQL}) where doc_id in (select doc_id from documents where status = 'ready')")
 def chunk_worker(spark, sf):
     """Ready documents as a stream, cut into windows."""
     from tessera.operators import chunks as C
@@ -59,7 +60,7 @@ def chunk_worker(spark, sf):
 def cluster_refresh(spark, sf):
     """A triggered rebuild of the topic table from what the stream has brought."""
     rows = S.stream(spark, sf, "documents").where("status = 'ready'").select(F.explode("topics").alias("topic"))
-    return S.drained(rows.groupBy("topic").agg(F.count("*").alias("docs")), "complete")
+    return S.drained(rows.groupBy("topic").agg(F.count("*").alias("docs")), "update", keys=("topic",))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import chunks as C
 from tessera.operators import merge as M
+from tessera.operators.graph import best_of_both
+from tessera.plans.docproc import CHUNK_SQL
 from tessera.plans.registry import Registry
 from tessera.sources.tables import DAY_US, HOUR_US, NOW_US, corpus, micros, ready, table
 
@@ -37,7 +39,7 @@ def point_lookup(spark, sf):
     return corpus(spark, sf).where("doc_id = 42").select("doc_id", "url", "title", "status")
 
 
-@R.add("chunk_scan")
+@R.add("chunk_scan", f"select * from ({CHUNK_SQL}) where doc_id = 7")
 def chunk_scan(spark, sf):
     """The windows of one document, in order."""
     return C.windows(corpus(spark, sf).where("doc_id = 7"), 300, 120, 100).orderBy("chunk_index")
@@ -186,12 +188,16 @@ def ingest_tool_bucket(spark, sf):
 _BLOCK = ("slowtram.example", "forum", "harborline.example.org")
 
 
-@R.add("source_blocklist", "select doc_id from documents where " + " or ".join(f"contains(lower(source), '{b}') or (source <> '' and contains('{b}', lower(source)))" for b in _BLOCK))
+_HOST = r"regexp_replace(regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z]+://([^/?#:]+)', 1), '^www\.', '')"
+
+
+@R.add("source_blocklist", f"select doc_id from (select doc_id, lower(coalesce(source, '')) as s, {_HOST} as h from documents) where " + " or ".join(f"contains({c}, '{b}') or ({c} <> '' and contains('{b}', {c}))" for b in _BLOCK for c in "sh"))
 def source_blocklist(spark, sf):
-    """a source contains a blocked name or is contained in one."""
-    s, hit = F.lower("source"), F.lit(False)
+    """the source or the url's host (without www) contains a blocked name or is contained in one."""
+    s, h, hit = F.lower(F.coalesce("source", F.lit(""))), F.regexp_replace(F.coalesce(X.url_host(F.col("url")), F.lit("")), r"^www\.", ""), F.lit(False)
     for b in _BLOCK:
-        hit = hit | s.contains(b) | ((s != "") & F.lit(b).contains(s))
+        for c in (s, h):
+            hit = hit | c.contains(b) | ((c != "") & F.lit(b).contains(c))
     return corpus(spark, sf).where(hit).select("doc_id")
 
 
@@ -219,9 +225,20 @@ def corpus_access(spark, sf):
     return corpus(spark, sf).join(F.broadcast(table(spark, sf, "rss_feeds").where("corpus_id = 'partner'").select("source").distinct()), "source", "left_semi").select("doc_id")
 
 
-@R.add("pending_claimable", "select doc_id from documents where status = 'pending' and length(trim(coalesce(text, ''), ' ')) >= 500 order by ingested_at, doc_id limit 50")
+_WALLED = "(contains(lower(coalesce(text, '')), 'subscribe to') or contains(lower(coalesce(text, '')), 'sign in again'))"
+
+
+@R.add(
+    "pending_claimable",
+    f"select doc_id from documents left join (select source as p, min(rank_tier) as tier from source_policies group by 1) on p = source where status = 'pending' and (not {_WALLED} or length(trim(coalesce(body_text, ''), ' ')) >= 500) order by coalesce(tier, 2), ingested_at, doc_id limit 50",
+)
 def pending_claimable(spark, sf):
-    return corpus(spark, sf).where((F.col("status") == "pending") & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= 500)).orderBy("ingested_at", "doc_id").limit(50).select("doc_id")
+    """what may be claimed, the best tier first, then the oldest: not behind a paywall, or with a body all the same."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    walled = t.contains("subscribe to") | t.contains("sign in again")
+    tier = table(spark, sf, "source_policies").groupBy("source").agg(F.min("rank_tier").alias("tier"))
+    docs = corpus(spark, sf).where((F.col("status") == "pending") & (~walled | (F.length(F.trim(F.coalesce("body_text", F.lit("")))) >= 500)))
+    return docs.select("doc_id", "source", "ingested_at").join(F.broadcast(tier), "source", "left").orderBy(F.coalesce("tier", F.lit(2)), "ingested_at", "doc_id").limit(50).select("doc_id")
 
 
 @R.add("feeds_due", f"select id from rss_feeds where enabled and (last_polled_at is null or epoch_us(last_polled_at) + poll_interval_minutes::bigint * 60000000 < {NOW_US})")
@@ -359,7 +376,11 @@ def quality_extended(spark, sf):
     )
 
 
-@R.add("chunk_stats", None)
+@R.add(
+    "chunk_stats",
+    f"""with c as ({CHUNK_SQL}), per as (select doc_id, count(*) as n, avg(length(chunk)) as a from c group by 1)
+    select count(*) as docs, cast(sum(n) as bigint) as chunks, round(sum(n * a) / sum(n), 4) as avg_chars, round(avg(n), 4) as avg_chunks from per""",
+)
 def chunk_stats(spark, sf):
     """Per document and over all chunks (chunk-weighted, as the averages are re-joined to chunks)."""
     c = C.windows(corpus(spark, sf), 300, 120, 100)
@@ -394,17 +415,17 @@ def tool_error_breakdown(spark, sf):
     return e.groupBy(X.tool_bucket(F.col("source")).alias("tool"), "step", F.lower("error_type").alias("kind")).agg(F.count("*").alias("errors"))
 
 
-@R.add("health_counts", f"select count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'processing') as processing, count(*) filter (where status = 'ready' and vec_id is not null) as embedded, count(*) filter (where epoch_us(ingested_at) > {NOW_US - DAY_US}) as recent from documents left join embeddings on vec_id = doc_id")
+@R.add("health_counts", f"select count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'processing') as processing, count(*) filter (where status = 'ready' and vec_id is not null) as embedded, count(*) filter (where epoch_us(ingested_at) > {NOW_US - DAY_US}) as recent, count(*) filter (where epoch_us(ingested_at) > {NOW_US - 30 * 60_000_000}) as m30, count(*) filter (where epoch_us(ingested_at) > {NOW_US - 5 * 60_000_000}) as m5 from documents left join embeddings on vec_id = doc_id")
 def health_counts(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("has"))
     d, s = corpus(spark, sf).join(v, "doc_id", "left"), F.col("status")
-    return d.agg(F.count_if(s == "pending").alias("pending"), F.count_if(s == "processing").alias("processing"), F.count_if((s == "ready") & F.col("has")).alias("embedded"), F.count_if(micros("ingested_at") > NOW_US - DAY_US).alias("recent"))
+    return d.agg(F.count_if(s == "pending").alias("pending"), F.count_if(s == "processing").alias("processing"), F.count_if((s == "ready") & F.col("has")).alias("embedded"), *[F.count_if(micros("ingested_at") > NOW_US - span).alias(n) for n, span in (("recent", DAY_US), ("m30", 30 * 60_000_000), ("m5", 5 * 60_000_000))])
 
 
-@R.add("ingest_windows", f"select {SRC} as src, count(*) filter (where epoch_us(ingested_at) > {NOW_US - DAY_US}) as d1, count(*) filter (where epoch_us(ingested_at) > {NOW_US - 7 * DAY_US}) as d7 from documents group by 1 order by d7 desc, src limit 20")
+@R.add("ingest_windows", f"select {SRC} as src, count(*) filter (where epoch_us(ingested_at) > {NOW_US - DAY_US // 24}) as h1, count(*) filter (where epoch_us(ingested_at) > {NOW_US - DAY_US}) as d1, count(*) filter (where epoch_us(ingested_at) > {NOW_US - 7 * DAY_US}) as d7 from documents group by 1 order by d7 desc, src limit 20")
 def ingest_windows(spark, sf):
     t = micros("ingested_at")
-    return corpus(spark, sf).groupBy(source_name().alias("src")).agg(F.count_if(t > NOW_US - DAY_US).alias("d1"), F.count_if(t > NOW_US - 7 * DAY_US).alias("d7")).orderBy(F.desc("d7"), "src").limit(20)
+    return corpus(spark, sf).groupBy(source_name().alias("src")).agg(F.count_if(t > NOW_US - DAY_US // 24).alias("h1"), F.count_if(t > NOW_US - DAY_US).alias("d1"), F.count_if(t > NOW_US - 7 * DAY_US).alias("d7")).orderBy(F.desc("d7"), "src").limit(20)
 
 
 STEPS = ("fetch", "validate", "enrich", "embed", "chunk", "edges")
@@ -473,11 +494,16 @@ def gap_report(spark, sf):
     return rows.select("topic", "docs", F.round("s", 6).alias("with_summary"), F.when((n < 10) | (s < 0.5), "major").when((s < 0.8) | (n < 50), "moderate").otherwise("minor").alias("severity"))
 
 
-@R.add("intersection_agg", "select target_id, count(distinct source_id) as overlap, round(avg(weight), 9) as avg_weight, list(distinct source_id order by source_id) as sources from document_edges where weight is not null group by 1 having count(distinct source_id) >= 3")
+@R.add(
+    "intersection_agg",
+    """with p as (select target_id, source_id, sum(weight) as w, count(*) as n from document_edges where weight is not null group by all), g as (select target_id, count(*) as overlap, round(sum(w) / sum(n), 9) as avg_weight from p group by 1 having count(*) >= 3)
+    select target_id, overlap, avg_weight, source_id from g join p using (target_id)""",
+)
 def intersection_agg(spark, sf):
-    pair = table(spark, sf, "document_edges").where("weight is not null")
-    g = pair.groupBy("target_id").agg(F.count_distinct("source_id").alias("overlap"), F.avg("weight").alias("w"), F.sort_array(F.collect_set("source_id")).alias("sources"))
-    return g.where("overlap >= 3").select("target_id", "overlap", F.round("w", 9).alias("avg_weight"), "sources")
+    """One row for each source of a target that has three or more (a hub's sources aren't collected in one row)."""
+    pair = table(spark, sf, "document_edges").where("weight is not null").groupBy("target_id", "source_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    g = pair.groupBy("target_id").agg(F.count("*").alias("overlap"), F.round(F.sum("w") / F.sum("n"), 9).alias("avg_weight")).where("overlap >= 3")
+    return pair.join(g, "target_id").select("target_id", "overlap", "avg_weight", "source_id")
 
 
 @R.add("alternate_term_freq", "select term, count(*) as freq from (select distinct doc_id, lower(term) as term from (select doc_id, unnest(keywords) as term from documents where list_contains(topics, 'retrieval'))) group by 1 having count(*) >= 2 order by freq desc, term limit 10")
@@ -515,10 +541,11 @@ def daily_usage(spark, sf):
     return table(spark, sf, "query_log").where("session_id is not null").groupBy("session_id", F.floor(micros("ts") / DAY_US).alias("day")).agg(F.count_distinct("id").alias("queries"))
 
 
-@R.add("facts_by_question", "select lower(trim(question)) as q, list(distinct source || ':' || id order by source || ':' || id) as facts from query_log where model = 'reader-large' and correct group by 1")
+@R.add("facts_by_question", "with f as (select distinct lower(trim(question)) as q, source || ':' || id as fact from query_log where model = 'reader-large' and correct and question is not null) select q, fact, count(*) over (partition by q) as facts from f")
 def facts_by_question(spark, sf):
-    rows = table(spark, sf, "query_log").where("model = 'reader-large' and correct")
-    return rows.groupBy(F.lower(F.trim("question")).alias("q")).agg(F.sort_array(F.collect_set(F.concat("source", F.lit(":"), "id"))).alias("facts"))
+    """A question's facts, a row for each, with their number (a question asked by all isn't collected in one row)."""
+    rows = table(spark, sf, "query_log").where("model = 'reader-large' and correct and question is not null").select(F.lower(F.trim("question")).alias("q"), F.concat("source", F.lit(":"), "id").alias("fact")).distinct()
+    return rows.join(rows.groupBy("q").agg(F.count("*").alias("facts")), "q")
 
 
 @R.add("doc_type_distinct", "select distinct document_type from documents where document_type is not null")
@@ -548,9 +575,7 @@ def usage_cost(spark, sf):
 @R.add("topk_per_side", "with e as (select source_id, target_id, max(weight) as weight from document_edges where weight is not null group by all) select source_id, target_id, weight from (select *, row_number() over (partition by source_id order by weight desc, target_id) as a, row_number() over (partition by target_id order by weight desc, source_id) as b from e) where a <= 2 and b <= 2")
 def topk_per_side(spark, sf):
     e = table(spark, sf, "document_edges").where("weight is not null").groupBy("source_id", "target_id").agg(F.max("weight").alias("weight"))
-    a = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id"))
-    b = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("weight"), "source_id"))
-    return e.withColumn("a", a).withColumn("b", b).where("a <= 2 and b <= 2").select("source_id", "target_id", "weight")
+    return best_of_both(e, "source_id", "target_id", 2)
 
 
 @R.add("topk_global", "select source_id, target_id, rel_type, weight from document_edges order by weight desc nulls last, source_id, target_id, rel_type limit 40")

@@ -17,13 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext.getCheckpointDir()
     if made:
         return made
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: ``df`` written under a fresh name and read back, so that the loss of executors costs nothing."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut lineage: ``df`` written under a fresh name (partitioned ``by`` columns) and read back, so that the loss of executors costs nothing."""
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sources.shared import shared_dir
 
@@ -30,10 +31,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e
 
 
-def drained(df: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def drained(df: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a streaming query on all that is there and reads its result back.
 
-    Complete mode replaces the result with each batch; append mode adds files. ``sink`` takes the batches instead.
+    Append mode adds files; update mode adds what changed, and of each of the ``keys`` the latest batch's row holds, so
+    that closed windows leave the state and nothing is written twice; complete mode replaces the result with each
+    batch (sessions, which know no updates). ``sink`` takes the batches instead.
     """
     spark = df.sparkSession
     base = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
@@ -47,7 +50,14 @@ def drained(df: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int]
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink or write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out if mode == "complete" else f"{out}/*") if sink is None else None
+    if sink is not None:
+        return None
+    if mode != "update":
+        return spark.read.schema(df.schema).parquet(out if mode == "complete" else f"{out}/*")
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    values = [c for c in df.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_v.{c}") for c in df.columns])
 
 
 def tumbling(df: DataFrame, width: str = "1 hour", key: str = "event_type") -> DataFrame:

@@ -47,4 +47,6 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).columns
+    """What SQL can't express is run; the values are compared with Python's in test_units."""
+    rows = catalog.queries()[name](spark, SF).collect()
+    assert rows and len({r[0] for r in rows}) == len(rows)  # one row a document

@@ -62,18 +62,18 @@ def test_gate_order(spark):
     assert [r.g for r in df.select(X.content_gate(F.col("b"), F.col("t")).alias("g")).collect()] == [w for *_, w in cases]
 
 
-def test_expand_and_freshness():
+def test_expand_and_freshness(spark):
     assert Q.expand("install guide") == "install guide tutorial walkthrough how-to installation setup"
     assert Q.expand("bees") == "bees"
-    assert Q.freshness("pw", date(2025, 1, 8)) == (date(2025, 1, 1), date(2025, 1, 8))
-    assert Q.freshness("2025-01-01 to 2025-02-01") == (date(2025, 1, 1), date(2025, 2, 1))
-    assert Q.freshness("soon") is None and Q.freshness(None) is None and Q.freshness("2025-13-01to2025-14-01") is None
-    with pytest.raises(ValueError):
-        Q.freshness("2025-02-01to2025-01-01")
+    asked = ["pw", " PD ", "2025-01-01 to 2025-02-01", "2025-01-01-2025-02-01", "soon", None, "2025-13-01to2025-14-01", "2025-02-01to2025-01-01"]
+    df = Q.freshness_ranges(spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "i int, a string"), "a", date(2025, 1, 8)).orderBy("i")
+    jan, feb, none = date(2025, 1, 1), date(2025, 2, 1), (None, None, False)
+    assert [tuple(r)[2:] for r in df.collect()] == [(jan, date(2025, 1, 8), False), (date(2025, 1, 7), date(2025, 1, 8), False), (jan, feb, False), (jan, feb, False), none, none, none, (None, None, True)]
 
 
-def test_entity_terms_and_lookup():
-    assert Q.entity_terms("What did NASA report about Mars rovers today") == ["What", "NASA", "Mars", "rovers"]
+def test_entity_terms_and_lookup(spark):
+    df = spark.createDataFrame([("What did NASA report about Mars rovers today, at 3M's X1 site",), (None,)], "q string")
+    assert [r.t for r in df.select(Q.entity_terms(F.col("q")).alias("t")).collect()] == [["What", "NASA", "Mars", "rovers", "X1"], None]
     assert [Q.lookup_source(False, None), Q.lookup_source(True, 3), Q.lookup_source(True, 0), Q.lookup_source(True, 3, corpus_only=True), Q.lookup_source(False, 2, force_web=True)] == ["corpus", "web", "miss", "miss", "web"]
 
 
