@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import stored
+from tessera.sources.shared import bounded, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def keyword_edges(docs: DataFrame, least: float = 0.05, per_side: int = 20, most
     Terms in 2 to ``most_df`` documents only (part of the definition: it bounds the self-join to most_df per term and
     document); both ends keep the edge among their ``per_side`` best.
     """
-    terms = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.concat("keywords", "entities", "topics"), lambda x: F.lower(x)))).alias("term")).where(F.length("term") >= 3)
+    terms = terms_of(docs)
     used = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(2, most_df)).select("term")
     kept = terms.join(used, "term")
     size = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -92,6 +93,51 @@ def keyword_edges(docs: DataFrame, least: float = 0.05, per_side: int = 20, most
     return best_of_both(stored(scored, "edges"), "a", "b", per_side)
 
 
+def terms_of(docs: DataFrame) -> DataFrame:
+    """doc_id, term: the distinct lower-cased keywords, entities and topics of three characters or more."""
+    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.concat("keywords", "entities", "topics"), lambda x: F.lower(x)))).alias("term")).where(F.length("term") >= 3)
+
+
+@dataclass
+class Frequencies:
+    """What a full build leaves behind for the next batch: terms (doc_id, term), df (term, df), sizes (doc_id, n of used terms)."""
+
+    terms: DataFrame
+    df: DataFrame
+    sizes: DataFrame
+
+
+def frequencies(docs: DataFrame, most_df: int = 500) -> Frequencies:
+    terms = stored(terms_of(docs), "graph-terms")
+    df = stored(terms.groupBy("term").agg(F.count("*").alias("df")), "graph-df")
+    used = df.where(F.col("df").between(2, most_df)).select("term")
+    return Frequencies(terms, df, stored(terms.join(used, "term").groupBy("doc_id").agg(F.count("*").alias("n")), "graph-sizes"))
+
+
+def incremental_edges(state: Frequencies, batch: DataFrame, least: float = 0.05, most_df: int = 500) -> DataFrame:
+    """a, b, weight of the edges that a batch of new documents has by the full build's definition, before limits per side.
+
+    Only the batch's terms are counted and joined: their frequencies are added to the kept ones, and where one enters
+    or leaves the range of used terms, the sizes of the documents that carry it are corrected.
+    """
+    new = stored(terms_of(batch), "graph-new")
+    old_df = F.coalesce("df", F.lit(0))
+    touched = new.groupBy("term").agg(F.count("*").alias("more")).join(state.df, "term", "left").select("term", old_df.between(2, most_df).alias("was"), (old_df + F.col("more")).between(2, most_df).alias("used"))
+    touched = stored(touched, "graph-touched")
+    mine = bounded(touched)
+    change = F.when(F.col("used"), 1).otherwise(-1)
+    shift = state.terms.join(mine.where("was <> used"), "term").groupBy("doc_id").agg(F.sum(change).alias("shift"))
+    both = state.terms.join(mine.where("used").select("term"), "term").select("term", "doc_id", F.lit(False).alias("is_new"))
+    own = new.join(mine.where("used").select("term"), "term").select("term", "doc_id", F.lit(True).alias("is_new"))
+    other = both.union(own).select("term", F.col("doc_id").alias("o"), "is_new")
+    pairs = own.select("term", "doc_id").join(other, "term").where(F.when(F.col("is_new"), F.col("doc_id") < F.col("o")).otherwise(True)).groupBy("doc_id", "o").agg(F.count("*").alias("both"))
+    old_sizes = state.sizes.join(shift, "doc_id", "full").select("doc_id", (F.coalesce("n", F.lit(0)) + F.coalesce("shift", F.lit(0))).alias("n"))
+    sizes = stored(old_sizes.union(own.groupBy("doc_id").agg(F.count("*").alias("n"))), "graph-new-sizes")
+    wide = pairs.join(sizes.withColumnRenamed("n", "na"), "doc_id").join(sizes.select(F.col("doc_id").alias("o"), F.col("n").alias("nb")), "o")
+    weight = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    return wide.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"), weight.alias("weight")).where(F.col("weight") >= least)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.5, block: int = 2048, most: int = 16_384) -> DataFrame:
     """Exact nearest neighbours of a stated query set among all vectors: src, dst, cosine.
 

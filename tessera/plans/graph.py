@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.plans.registry import Registry
+from tessera.sources.shared import kept
 from tessera.sources.tables import corpus, table, vectors
 
 R = Registry()
@@ -118,18 +119,15 @@ def edges_vector(spark, sf):
 
 @R.add(
     "edges_incremental",
-    f"with t as {_TERMS}, u as (select term from t group by term having count(*) between 2 and 500), k as (select t.* from t join u using (term)), n as (select doc_id, count(*) as n from k group by 1), p as (select b.doc_id as other, count(*) as both_n from k a join k b on a.term = b.term and a.doc_id = 2 and b.doc_id <> 2 group by 1) select other, round(both_n / ((select n from n where doc_id = 2) + n - both_n), 6) as weight from p join n on n.doc_id = other where both_n / ((select n from n where doc_id = 2) + n - both_n) >= 0.05",
+    f"""with t as {_TERMS}, u as (select term from t group by term having count(*) between 2 and 500), k as (select t.*, batch_no = 6 as is_new from t join u using (term) join documents using (doc_id)), n as (select doc_id, count(*) as n from k group by 1),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as both_n from k a join k b on a.term = b.term and a.doc_id < b.doc_id and (a.is_new or b.is_new) group by 1, 2)
+    select a, b, round(both_n / (na.n + nb.n - both_n), 6) as weight from p join n na on na.doc_id = a join n nb on nb.doc_id = b where both_n / (na.n + nb.n - both_n) >= 0.05""",
 )
 def edges_incremental(spark, sf):
-    """The full build's definition for one new document: only its terms are joined."""
-    docs = corpus(spark, sf)
-    terms = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.concat("keywords", "entities", "topics"), lambda x: F.lower(x)))).alias("term")).where("length(term) >= 3")
-    kept = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")).where("df between 2 and 500").select("term"), "term")
-    own = kept.where("doc_id = 2").select("term")
-    size = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    both = kept.where("doc_id <> 2").join(own, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("both_n"))
-    wide = both.join(size, "doc_id").crossJoin(F.broadcast(own.agg(F.count("*").alias("n0"))))  # one row
-    return wide.select(F.col("doc_id").alias("other"), F.round(F.col("both_n") / (F.col("n0") + F.col("n") - F.col("both_n")), 6).alias("weight")).where("weight >= 0.05")
+    """The edges of the last batch's documents, from the frequencies that the build before it left."""
+    docs = corpus(spark, sf).select("doc_id", "batch_no", "keywords", "entities", "topics")
+    state = kept(spark, f"{sf}/documents.parquet", "frequencies", lambda: G.frequencies(docs.where("coalesce(batch_no, 0) <> 6")))
+    return G.incremental_edges(state, docs.where("batch_no = 6")).withColumn("weight", F.round("weight", 6))
 
 
 def _jac(c: str) -> str:

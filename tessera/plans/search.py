@@ -12,6 +12,7 @@ from tessera.operators import fusion as U
 from tessera.operators import retrieval as V
 from tessera.plans.registry import Registry
 from tessera.plans.tables import degrees
+from tessera.sources.shared import kept
 from tessera.sources.tables import DAY_US, NOW_US, corpus, micros, ready, table, vectors
 
 R = Registry()
@@ -55,7 +56,7 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_index(spark, sf):
-    return V.index_of(spark, f"{sf}/documents.parquet", "text", lambda: ready(spark, sf), F.col("text"))
+    return kept(spark, f"{sf}/documents.parquet", "text", lambda: V.build_index(ready(spark, sf), F.col("text")))
 
 
 def fts(spark, sf, query=QUERY, limit=LIMIT):
@@ -75,7 +76,7 @@ def chunk_vec(spark, sf, limit=LIMIT):
 
 
 def aq_fts(spark, sf, query=QUERY, limit=LIMIT):
-    index = V.index_of(spark, f"{sf}/documents.parquet", "questions", lambda: ready(spark, sf), F.array_join("answers_questions", " "))
+    index = kept(spark, f"{sf}/documents.parquet", "questions", lambda: V.build_index(ready(spark, sf), F.array_join("answers_questions", " ")))
     return V.fts(index, query, limit)
 
 

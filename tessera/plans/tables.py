@@ -86,10 +86,11 @@ def sink_upsert_edge(spark, sf):
     return M.upsert_edges(table(spark, sf, "document_edges"))
 
 
-@R.add("sink_replace_children", "select doc_id, q from (select doc_id, unnest(answers_questions) as q from documents where batch_no < 3) where doc_id not in (select doc_id from documents where batch_no < 3 and doc_id % 10 = 0) union all select doc_id, 'Replaced ' || doc_id from documents where batch_no < 3 and doc_id % 10 = 0")
+@R.add("sink_replace_children", "select doc_id, q from (select doc_id, unnest(answers_questions) as q from documents) where doc_id not in (select doc_id from documents where status = 'processing') union all select doc_id, coalesce(title, '') from documents where status = 'processing'")
 def sink_replace_children(spark, sf):
-    docs = corpus(spark, sf).where("batch_no < 3")
-    new = docs.where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("Replaced "), "doc_id").alias("q"))
+    """Records that are processed again lose their old questions for a new one."""
+    docs = corpus(spark, sf)
+    new = docs.where("status = 'processing'").select("doc_id", F.coalesce("title", F.lit("")).alias("q"))
     return M.replace_children(docs.select("doc_id", F.explode("answers_questions").alias("q")), new, "doc_id")
 
 

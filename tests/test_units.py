@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import re
 import uuid
 import zipfile
@@ -240,3 +241,46 @@ def test_summary_matches_python(spark):
 def test_html_to_markdown(spark):
     html = "<h2>Head</h2><p>One <b>two</b> <a href='u'>x</a></p><ul><li>a</li><li>b</li></ul><script>no</script>"
     assert one(spark, files.html_markdown(F.col("h")), h=html) == "## Head\nOne **two** [x](u)\n\n- a\n- b"
+
+
+def test_scanned_and_blocked_neighbours_agree(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(6)]) for i in range(120)] + [(200, [0.0] * 6)]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    q = v.where("doc_id % 10 = 0")
+    few = {(r.src, r.dst, round(r.cosine, 9)) for r in graph.knn(q, v, 5, 0.1).collect()}
+    many = {(r.src, r.dst, round(r.cosine, 9)) for r in graph.knn(q, v, 5, 0.1, block=16, most=1).collect()}
+    assert few == many and few
+    assert graph.knn(q.limit(0), v).count() == 0 and graph.knn(q, v.limit(0)).count() == 0
+
+
+def test_similarity_of_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0])], "doc_id long, vector array<double>")
+    assert {r.doc_id: r.score for r in retrieval.similar(v, [6.0, 8.0], "doc_id").collect()} == {1: 1.0, 2: 0.0, 3: None, 4: None}
+
+
+def test_index_falls_back_to_any_term(spark):
+    docs = spark.createDataFrame([(1, "kiln shelves and gates"), (2, "kiln kiln kiln"), (3, None), (4, "gates of the quay"), (5, "")], "doc_id long, text string")
+    index = retrieval.build_index(docs, F.col("text"))
+    assert index.n == 5 and index.avgdl == pytest.approx((4 + 3 + 0 + 4 + 0) / 5)
+    hits = {r.doc_id: r.tier for r in retrieval.fts(index, "kiln gates", 10).collect()}
+    assert hits == {1: 0, 2: 1, 4: 1}
+    assert retrieval.fts(index, "zzz", 10).count() == 0
+
+
+def test_a_hub_keeps_its_best_edges(spark):
+    rows = [(1, i, float(i % 50)) for i in range(2, 300)] + [(i, i + 1, 60.0) for i in range(2, 40)]
+    got = {(r.a, r.b) for r in graph.best_of_both(spark.createDataFrame(rows, "a long, b long, weight double"), "a", "b", 2).collect()}
+    rank = lambda k, o: {e for n in {r[k] for r in rows} for e in sorted([r for r in rows if r[k] == n], key=lambda r: (-r[2], r[o]))[:2]}
+    assert got == {r[:2] for r in rank(0, 1) & rank(1, 0)}
+
+
+def test_late_rows_in_several_files(spark, tmp_path):
+    """A file at a time: rows later than the watermark are dropped, a window that gets rows in two batches has their sum."""
+    day = 86_400_000_000
+    times = [[0, 1, 2 * day], [2, 3 * day], [5 * day, 5 * day + 1], [10, 5 * day + 2]]  # 10 comes when the watermark is past it
+    for i, own in enumerate(times):
+        spark.createDataFrame([(t, "click") for t in own], "us long, event_type string").selectExpr("timestamp_micros(us) ts", "event_type").coalesce(1).write.parquet(f"{tmp_path}/{i}.parquet")
+    src = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*.parquet")
+    got = {(r.start_us, r.n) for r in streams.drained(streams.tumbling(src), "update", keys=("start_us", "event_type")).collect()}
+    assert (5 * day, 3) in got and (2 * day, 1) in got and (0, 4) not in got
