@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -188,11 +189,17 @@ def topics_frequent(spark, sf):
     return C.frequent_terms(corpus(spark, sf), 8, 5).select("doc_id", F.col("term").alias("topic"))
 
 
-@R.add("entities_spans", r"select doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[\p{Lu}][\p{L}]+ [\p{Lu}][\p{L}]+'), lambda x: lower(x)))) as entities from documents where text is not null")
+@R.add(
+    "entities_spans",
+    r"""with e as (select doc_id, lower(unnest(regexp_extract_all(text, '[\p{Lu}][\p{L}]+(?: [\p{Lu}][\p{L}]+)+'))) as entity from documents where text is not null), c as (select doc_id, entity, count(*) as n from e group by all)
+    select doc_id, entity, n from (select *, row_number() over (partition by doc_id order by n desc, entity) as r from c) where r <= 20""",
+)
 def entities_spans(spark, sf):
-    """D17 without a language model: distinct spans of two capitalised words."""
-    found = F.regexp_extract_all("text", F.lit(r"[\p{Lu}][\p{L}]+ [\p{Lu}][\p{L}]+"), F.lit(0))
-    return corpus(spark, sf).where("text is not null").select("doc_id", F.size(F.array_distinct(F.transform(found, lambda x: F.lower(x)))).alias("entities"))
+    """D17 without a language model: the twenty most frequent spans of capitalised words of each document."""
+    span = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{Lu}][\p{L}]+(?: [\p{Lu}][\p{L}]+)+"), F.lit(0)))
+    counts = corpus(spark, sf).where("text is not null").select("doc_id", span.alias("e")).groupBy("doc_id", F.lower("e").alias("entity")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "entity"))
+    return counts.withColumn("r", rank).where("r <= 20").select("doc_id", "entity", "n")
 
 
 def _in(words) -> str:
