@@ -21,6 +21,12 @@ GENERIC_QUESTIONS = (
 BOILERPLATE = (
     r"accept all", r"reject optional", r"cookies", r"enable javascript", r"access denied", r"page not found", r"subscribe to", r"sign in", r"privacy choices", r"terms of use", r"all rights reserved", r"too many requests",
 )
+LANGUAGE_WORDS = {
+    "de": ("der", "die", "und", "das", "nicht", "mit", "ist", "ein", "eine", "von", "auf", "für", "sich", "dem", "den", "wurde", "nach", "bei", "aus", "wird"),
+    "en": ("the", "and", "of", "to", "in", "is", "was", "that", "for", "with", "by", "were", "on", "are", "from", "which", "after", "at", "it", "as"),
+    "es": ("el", "la", "los", "las", "de", "que", "y", "en", "una", "por", "con", "del", "se", "para", "fue", "no", "al", "su", "como", "más"),
+    "fr": ("le", "la", "les", "des", "et", "est", "une", "dans", "que", "pour", "par", "sur", "du", "au", "avec", "ne", "pas", "qui", "sont", "ont"),
+}
 PII = {"email": r"[\w.+-]+@[\w-]+\.[\w.-]+", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "card": r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", "phone": r"\b\d{3}[-.]\d{3}[-.]\d{4}\b"}
 
 
@@ -29,6 +35,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def language(text: Column) -> Column:
+    """The language whose frequent words come most often in the whole text (of equal ones the last by name); null where none comes."""
+    t = tokens(text)
+    count = lambda own: F.size(F.filter(t, lambda x: x.isin(*own)))
+    best = F.greatest(*[F.struct(count(own).alias("n"), F.lit(name).alias("l")) for name, own in LANGUAGE_WORDS.items()])
+    return F.when(best["n"] > 0, best["l"])
+
+
 def term_set(text: Column) -> Column:
     """Distinct terms longer than two characters, split at white space, hyphens, slashes, dots, commas, underscores."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\s\-_/.,]+"), lambda x: F.length(x) > 2))

@@ -228,10 +228,10 @@ def traverse_scores(docs: DataFrame, seeds: list[str], limit: int = 20) -> DataF
     return docs.select("doc_id", n.alias("n"), score.alias("score")).where("n > 0").orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", "score")
 
 
-def next_clusters(docs: DataFrame, seeds: list[str], among: DataFrame, most_terms: int = 50) -> DataFrame:
-    """Terms of the matched documents grouped by the two smallest documents that carry them."""
+def next_clusters(docs: DataFrame, seeds: list[str], among: DataFrame, most_terms: int = 50, explore: bool = False) -> DataFrame:
+    """Terms of the matched documents grouped by the two smallest documents that carry them; ``explore`` favours frequent ones."""
     terms = docs.join(among.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(F.transform(F.concat("topics", "keywords", "entities"), lambda x: F.lower(x)))).alias("term"))
     n = among.agg(F.count("*").alias("n_docs"))
     g = terms.where(~F.col("term").isin(*[s.lower() for s in seeds])).groupBy("term").agg(F.count("*").alias("df"), F.slice(F.sort_array(F.collect_set("doc_id")), 1, 2).alias("anchor"))
-    g = g.crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("df") / F.col("n_docs"), 6)).orderBy(F.desc("score"), "term").limit(most_terms)  # one row
+    g = g.crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("df") / F.col("n_docs") * (1 + 0.1 * F.col("df") if explore else F.lit(1.0)), 6)).orderBy(F.desc("score"), "term").limit(most_terms)  # one row
     return g.groupBy("anchor").agg(F.count("*").alias("terms"), F.round(F.max("score"), 6).alias("best")).select(F.array_join(F.transform("anchor", lambda x: x.cast("string")), ",").alias("anchor"), "terms", "best")

@@ -102,7 +102,7 @@ _WORDS = f"list_filter(regexp_split_to_array(b, '{_WS}+'), lambda x: x <> '')"
 _LINES = "list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 _GATE = f"""case when length(b) < 200 then 'too_short' when length(b) > 5000000 then 'too_long' when len({_WORDS}) < 40 then 'too_few_words'
     when {" or ".join(f"contains(lower(left(b, 200)), '{p}')" for p in X.BOILERPLATE)} then 'boilerplate'
-    when length(regexp_replace(b, '[^\\p{{L}}]', '', 'g')) / length(b) < 0.5 then 'not_alphabetic' when length(regexp_replace(b, '[\\p{{L}}\\p{{N}}\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')) / length(b) > 0.35 then 'noisy'
+    when length(regexp_replace(b, '[^\\p{{L}}]', '', 'g')) / length(b) < 0.5 then 'not_alphabetic' when length(regexp_replace(b, '[\p{{L}}\p{{N}}\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')) / length(b) > 0.35 then 'noisy'
     when len({_LINES}) >= 10 and 1 - len(list_distinct({_LINES})) / len({_LINES}) > 0.6 then 'repetitive'
     when length(t) < 3 then 'no_title' when {" or ".join(f"regexp_matches(lower(t), '{p}')" for p in X.GENERIC_TITLES)} then 'generic_title' else 'ok' end"""
 
@@ -245,6 +245,20 @@ def language_gate(spark, sf):
     return corpus(spark, sf).select("doc_id", F.when(F.col("lang").isNull() | (F.col("lang") == "en"), F.col("status")).otherwise("terminal").alias("status_new"))
 
 
+_COUNTS = ", ".join(f"struct_pack(n := len(list_filter(t, lambda x: x in ({', '.join(repr(w) for w in own)}))), l := '{name}')" for name, own in X.LANGUAGE_WORDS.items())
+
+
+@R.add(
+    "language_detect",
+    rf"""with d as (select doc_id, lang, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as t from documents where text is not null), b as (select doc_id, lang, list_max([{_COUNTS}]) as b from d)
+    select doc_id, case when b.n > 0 then b.l end as detected, coalesce(case when b.n > 0 then b.l end <> 'en', false) as terminal from b""",
+)
+def language_detect(spark, sf):
+    """The language of each text by its frequent words; what isn't English ends there."""
+    d = corpus(spark, sf).where("text is not null").select("doc_id", X.language(F.col("text")).alias("detected"))
+    return d.select("doc_id", "detected", F.coalesce(F.col("detected") != "en", F.lit(False)).alias("terminal"))
+
+
 @R.add("pii_scan", "select doc_id, unnest(list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in X.PII.items()) + "], lambda x: x is not null)) as kind from documents where text is not null")
 def pii_scan(spark, sf):
     return corpus(spark, sf).where("text is not null").select("doc_id", F.explode(X.pii_kinds(F.col("text"))).alias("kind"))

@@ -154,16 +154,24 @@ def traverse_score(spark, sf):
     return G.traverse_scores(corpus(spark, sf), list(SEEDS))
 
 
-@R.add(
-    "next_clusters",
-    f"""with a as ({_TRAVERSE}), t as (select doc_id, unnest({_ALL_TERMS}) as term from documents where doc_id in (select doc_id from a)), g as (select term, count(*) as df, list_sort(list(distinct doc_id))[1:2] as anchor from t where term not in ({', '.join(repr(s) for s in SEEDS)}) group by term),
-    s as (select *, round(df / (select count(*) from a), 6) as score from g order by score desc, term limit 50) select array_to_string(anchor, ',') as anchor, count(*) as terms, round(max(score), 6) as best from s group by anchor""",
-)
+def _clusters_sql(factor: str) -> str:
+    return f"""with a as ({_TRAVERSE}), t as (select doc_id, unnest({_ALL_TERMS}) as term from documents where doc_id in (select doc_id from a)), g as (select term, count(*) as df, list_sort(list(distinct doc_id))[1:2] as anchor from t where term not in ({', '.join(repr(s) for s in SEEDS)}) group by term),
+    s as (select *, round(df / (select count(*) from a) * {factor}, 6) as score from g order by score desc, term limit 50) select array_to_string(anchor, ',') as anchor, count(*) as terms, round(max(score), 6) as best from s group by anchor"""
+
+
+@R.add("next_clusters", _clusters_sql("1.0"))
 def next_clusters(spark, sf):
     docs = corpus(spark, sf)
     return G.next_clusters(docs, list(SEEDS), G.traverse_scores(docs, list(SEEDS)))
 
 
+@R.add("next_clusters_explore", _clusters_sql("(1 + 0.1 * df)"))
+def next_clusters_explore(spark, sf):
+    """G10 where exploring favours frequent terms."""
+    docs = corpus(spark, sf)
+    return G.next_clusters(docs, list(SEEDS), G.traverse_scores(docs, list(SEEDS)), explore=True)
+
+
 @R.add("traversal_id", "select doc_id, left(md5(array_to_string(list_sort(keywords), '|')), 12) as traversal_id from documents where len(keywords) > 0")
 def traversal_id(spark, sf):
     """The id of a set of seeds."""
