@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tessera.operators import merge as M
 from tessera.operators.graph import best_of_both
 from tessera.plans.docproc import CHUNK_SQL
 from tessera.plans.registry import Registry
+from tessera.sources import files, sinks
+from tessera.sources.shared import shared_dir
 from tessera.sources.tables import DAY_US, HOUR_US, NOW_US, corpus, micros, ready, table
 
 R = Registry()
@@ -94,6 +98,39 @@ def sink_replace_children(spark, sf):
     return M.replace_children(docs.select("doc_id", F.explode("answers_questions").alias("q")), new, "doc_id")
 
 
+# Round trips: written to the shared folder and read back
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@R.add("sink_bodies", "select doc_id, length(body_text) as chars from documents where body_text is not null")
+def sink_bodies(spark, sf):
+    """Bodies in folders by the hash of their id."""
+    path = _folder(spark, "bodies")
+    sinks.bodies(corpus(spark, sf), path, 16)
+    return spark.read.schema("doc_id long, body_text string, shard string").parquet(path).select("doc_id", F.length("body_text").alias("chars"))
+
+
+@R.add("sink_append_log", "select strftime(logged_at, '%Y-%m-%d') as day, count(*) as n, count(distinct id) as ids from query_log where logged_at is not null group by 1")
+def sink_append_log(spark, sf):
+    """Log rows in folders by day, appended in two parts: first the questions answered right, then the rest."""
+    path, log = _folder(spark, "log"), table(spark, sf, "query_log").where("logged_at is not null").select("id", "logged_at", F.coalesce("correct", F.lit(False)).alias("good"))
+    for part in (log.where("good"), log.where("not good")):
+        sinks.append_log(part, path, "logged_at")
+    rows = spark.read.schema("id long, logged_at timestamp, good boolean, day date").parquet(path)
+    return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@R.add("import_exported", "select doc_id, title, source, n_chars, len(topics) as topics from documents")
+def import_exported(spark, sf):
+    """Records exported as JSON lines and imported again."""
+    path = _folder(spark, "export")
+    sinks.export_lines(corpus(spark, sf), path)
+    return files.import_lines(spark, path).select("doc_id", "title", "source", "n_chars", F.size("topics").alias("topics"))
+
+
 @R.add("delete_cascade", "select source_id, target_id, rel_type, weight from document_edges where source_id not in (select doc_id from documents where status in ('failed', 'terminal')) and target_id not in (select doc_id from documents where status in ('failed', 'terminal'))")
 def delete_cascade(spark, sf):
     gone = corpus(spark, sf).where("status in ('failed', 'terminal')").select("doc_id")

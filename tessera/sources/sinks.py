@@ -15,12 +15,13 @@ def export_lines(docs: DataFrame, path: str) -> None:
 def bodies(docs: DataFrame, path: str, shards: int = 256) -> None:
     """Bodies by shard of the id's hash, a folder each."""
     shard = F.lpad(F.hex(F.pmod(F.xxhash64("doc_id"), F.lit(shards))), 2, "0")
-    docs.where("body_text is not null").select("doc_id", "body_text", shard.alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    docs.where("body_text is not null").select("doc_id", "body_text", shard.alias("shard")).hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def append_log(rows: DataFrame, path: str, time: str) -> None:
     """Appends log rows, partitioned by day."""
-    rows.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
+    # days are gathered before writing (a day that is too large for a task is split), so that not every task writes to every day
+    rows.withColumn("day", F.to_date(time)).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def replace_buckets(children: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
