@@ -193,6 +193,27 @@ def test_a_crowd_of_near_copies_loses_nothing(spark, first):
     assert set(got) == want and len(want) > 20
 
 
+def test_hits_and_pairs_are_judged_in_parts(spark, monkeypatch):
+    """However many plausible pairs there are, a bounded number is compared at once; the result is the same."""
+    rng = random.Random(9)
+    base, rows = article(rng, 14), []
+    for i in range(1, 61):
+        words = " ".join(base).split()
+        for j in rng.sample(range(len(words)), len(words) // (40 if i % 2 else 6)):
+            words[j] = f"edit{rng.randrange(10**6)}"
+        rows.append({"doc_id": i, "batch_no": (i - 1) // 30, "body_text": " ".join(words)})
+    df = docs(spark, *rows)
+    whole = {tuple(r) for r in history.repeats(spark, df).collect()}
+    sizes, compared, summed = [], history.History._compared, history.History._plausible
+    monkeypatch.setattr(history, "HITS_AT_ONCE", (200, 0))
+    monkeypatch.setattr(history, "PAIRS_AT_ONCE", (50, 0))
+    monkeypatch.setattr(history.History, "_compared", lambda self, pairs, *x: (sizes.append(("pairs", pairs.count())), compared(self, pairs, *x))[1])
+    monkeypatch.setattr(history.History, "_plausible", lambda self, hits, *x: (sizes.append(("hits", hits.count())), summed(self, hits, *x))[1])
+    assert {tuple(r) for r in history.repeats(spark, df).collect()} == whole and len(whole) > 10
+    pairs, hits = ([n for k, n in sizes if k == kind] for kind in ("pairs", "hits"))
+    assert sum(pairs) > 300 and max(pairs) < 100 and len(hits) > 5 and max(hits) < sum(hits) / 3
+
+
 def test_repeats_odd_inputs(spark):
     body = "\n".join(article(random.Random(1)))
     rows = [{"doc_id": 1, "batch_no": 0, "body_text": body}, {"doc_id": 2, "batch_no": 1, "body_text": body.upper()}, {"doc_id": 3, "batch_no": 1}, {"doc_id": 4, "batch_no": 2, "body_text": "short", "url": ""}, {"doc_id": 5, "batch_no": 2, "body_text": body}]
