@@ -109,6 +109,17 @@ def test_residue_is_the_same_in_any_batch(fitted):
     assert fitted.kinds(texts) == [fitted.kinds([t])[0] for t in texts]
 
 
+def test_natural_text_is_counted_over_all_rows(spark):
+    rng = random.Random(3)
+    bodies = [None, ""] + [" ".join(f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.choice('nrst')}{i}" for _ in range(20)) + ".\nshort line" for i in range(4_000)]
+    df = docs(spark, *[{"doc_id": i, "body_text": b} for i, b in enumerate(bodies)]).repartition(3)
+    counts, n = residue.counted_prose(df)
+    assert n == len(bodies) and (counts == residue.prose_counts(bodies[::-1])).all()
+    assert (sum(residue.prose_counts(bodies[i::7]) for i in range(7)) == counts).all()
+    assert (residue.fitted(df).ratios == residue.fit(counts, n)).all()
+    assert residue.counted_prose(df.limit(0))[1] == 0
+
+
 def test_residue_frame(spark, fitted):
     df = docs(spark, {"doc_id": 1, "body_text": "404 Not Found", "summary": PROSE}, {"doc_id": 2}, {"doc_id": 3, "summary": "{{ resumen }}", "body_text": ""}).withColumn("kind", F.lit("clash"))
     assert {tuple(r) for r in residue.judged(df, fitted).collect()} == {(1, "body_text", "notice"), (3, "summary", "residue")}
