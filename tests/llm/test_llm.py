@@ -597,6 +597,14 @@ def test_genders_are_fitted():
     assert pii.genders(texts, ["Anna", "Karl", "Kai", "Pilar"]) == {"Anna": True, "Karl": False, "Kai": False, "Pilar": False}
 
 
+def test_genders_are_fitted_on_all_texts(spark):
+    """Each name stands in one record only, so none may be left out."""
+    women = {f"N{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}a": i % 3 == 0 for i in range(3_600)}
+    df = docs(spark, *[{"doc_id": i, "text": f"{w} Holm said {'she' if is_she else 'he'} would go."} for i, (w, is_she) in enumerate(women.items())], {"doc_id": 9_999})
+    assert pii.counted_genders(df, list(women)) == women
+    assert pii.counted_genders(df.limit(0), ["Anna"]) == {"Anna": False}
+
+
 def test_surrogate_frame_keeps_entities_apart(spark, monkeypatch):
     rows = [{"doc_id": 1, "text": "Tel. 404.555.0198 and Anna Holm\nANNA HOLM"}, {"doc_id": 2}, {"doc_id": 3, "text": ""}, {"doc_id": 4, "text": "Call 404-555-0198 or 404-555-0199"}, {"doc_id": 1, "text": "Tel. 404.555.0198"}]
     df = docs(spark, *rows).withColumn("new", F.lit("clash"))
