@@ -225,6 +225,31 @@ def test_hits_and_pairs_are_judged_in_parts(spark, monkeypatch):
     assert sum(pairs) > 300 and max(pairs) < 100 and len(hits) > 5 and max(hits) < sum(hits) / 3
 
 
+def test_words_of_many_texts_are_spelt_at_once(monkeypatch):
+    """The same words as in one text alone, whatever stands between them; each different token is looked at once."""
+    odd = ["", " \n\t", "One two, ONE-two three", "\x1cA\x1fb\x85c\xa0d\u2003e\u3000f\u200bg\ufeffh", "ΟΔΟΣ ΟΔΟΣ. ΣΑΣ", "İstanbul ẞ ﬁ Ǆ", "snake_case __ x_", "漢字かな mixed 漢", "ภาษาไทย", "e\u0301 \U0001f600 1½ ²", "— …", "x" * 300_000, " lead and trail "]
+    looked = []
+    memo = pagebody.Memo(lambda token: (looked.append(token), " ".join(history._WORD.findall(token)))[1])
+    monkeypatch.setattr(history, "_SPELT", memo)
+    want = [history._WORD.findall(t.lower()) for t in odd]
+    assert history.article_words(odd) == ([" ".join(w) for w in want], [len(w) for w in want])
+    before = len(looked)
+    assert history.article_words(["one two three"] * 50) == (["one two three"] * 50, [3] * 50) and len(looked) == before + 1  # only "two" (not "two,") is new
+    assert history.article_words([]) == ([], [])
+
+
+def test_nothing_is_sorted_or_written_for_no_reader(spark, monkeypatch):
+    """The searched suffixes are written as they come, and the first segment's entries once."""
+    temps, tables, temp, bucketed = [], {}, history.History._temp, history.History._bucketed
+    monkeypatch.setattr(history.History, "_temp", lambda self, df, name: (temps.append(name), temp(self, df, name))[1])
+    monkeypatch.setattr(history.History, "_bucketed", lambda self, df, by, sort, kind: (tables.setdefault(kind, sort), bucketed(self, df, by, sort, kind))[1])
+    rng = random.Random(4)
+    bodies = ["\n".join(article(rng)) for _ in range(4)]
+    rows = [{"doc_id": i, "batch_no": i // 4, "body_text": bodies[i % 4] if i < 7 else "\n".join(article(rng))} for i in range(8)]
+    assert {tuple(r) for r in history.repeats(spark, docs(spark, *rows)).collect()} == {(0, 4), (1, 5), (2, 6)}
+    assert tables["wanted"] == [] and tables["array"] and "kept" not in temps[: temps.index("accepted")]
+
+
 def test_repeats_odd_inputs(spark):
     body = "\n".join(article(random.Random(1)))
     rows = [{"doc_id": 1, "batch_no": 0, "body_text": body}, {"doc_id": 2, "batch_no": 1, "body_text": body.upper()}, {"doc_id": 3, "batch_no": 1}, {"doc_id": 4, "batch_no": 2, "body_text": "short", "url": ""}, {"doc_id": 5, "batch_no": 2, "body_text": body}]
@@ -446,6 +471,28 @@ def test_page_parts_go_and_the_article_stays(fitted):
     assert pages.kept((PROSE + " ") * 3000, None) == [True]
 
 
+def test_lines_are_scored_once(fitted, monkeypatch):
+    """A line's form serves both models, and long lines' words are summed up ahead for many bodies: with the same scores."""
+    lines = ["Home | News | Sport", PROSE, PROSE * 2, (PROSE + " ") * 40, "* Inside the tide tables of Caddon", "Ж" * 200, "漢" * 170, "a\u2003b " * 100, "1. Why: meter pits — matter", "x" * 200_000]
+    bodies = ["\n".join(lines), None, "", "\n \n".join(reversed(lines))]
+    plain, ahead = pagebody.Pages(*fitted.models), pagebody.Pages(*fitted.models)
+    ahead.ahead(bodies)
+    for line in map(str.strip, lines):
+        (a, t, low), (b, u, same) = plain.scores(line), ahead.scores(line)
+        assert (a, t) == pytest.approx((b, u), abs=1e-9) and low == same
+        whole = pagebody.linear.score(fitted.models[0], [pagebody.line_features(line)])[0]
+        assert a == pytest.approx(max(-5, min(5, whole)), abs=1e-3) or abs(a) == 1 or max(map(len, line.split())) >= 25
+    seen, form = [], pagebody.form_of
+    monkeypatch.setattr(pagebody, "form_of", lambda line: (seen.append(line), form(line))[1])
+    ahead.article_words = None  # no word of a long line is looked up any more
+    ahead.scores(lines[3].strip())
+    plain.memo.clear()
+    plain.scores("Home | News | Sport and weather in one line")
+    assert seen == [lines[3].strip(), "Home | News | Sport and weather in one line"]
+    plain.ahead([])
+    assert plain.sums == {}
+
+
 def test_pages_frame(spark, fitted):
     rows = [{"doc_id": 1, "title": "T", "body_text": "Accept all\n" + PROSE}, {"doc_id": 2}, {"doc_id": 3, "body_text": ""}, {"doc_id": 4, "body_text": "404 Not Found\nBack to top"}]
     df = docs(spark, *rows).withColumn("line_no", F.lit(9))
